@@ -44,14 +44,14 @@ def positions(docs: DataFrame, start: float = START, end: float = END, seed: str
     share = supply.join(F.broadcast(total), how="cross").withColumn("p", F.when(F.col("_total") > 0, F.col("_supply") / F.col("_total")).otherwise(0.0))
     powers = share.withColumn("a", F.when(F.col("p") > 0, F.pow("p", F.lit(start))).otherwise(0.0)).withColumn("b", F.when(F.col("p") > 0, F.pow("p", F.lit(end))).otherwise(0.0))
     norm = powers.agg(F.sum("a").alias("_na"), F.sum("b").alias("_nb"))
-    weights = powers.join(F.broadcast(norm), how="cross").select("_source", "_supply", "_total", (F.col("a") / F.col("_na")).alias("_a"), (F.col("b") / F.col("_nb")).alias("_b"))
-    weights = weights.withColumn("_mean", (F.col("_a") + F.col("_b")) / 2).withColumn("_span", F.least(F.col("_total").cast("double"), F.col("_supply") / F.col("_mean")))
+    weights = powers.join(F.broadcast(norm), how="cross").select("_source", "_supply", "_total", F.coalesce(F.try_divide("a", "_na"), F.lit(0.0)).alias("_a"), F.coalesce(F.try_divide("b", "_nb"), F.lit(0.0)).alias("_b"))
+    weights = weights.withColumn("_mean", (F.col("_a") + F.col("_b")) / 2).withColumn("_span", F.least(F.col("_total").cast("double"), F.try_divide("_supply", "_mean")))
     offsets = cut(sums.select("_source", "_bucket", "_before").join(weights.select("_source", "_a", "_b", "_mean", "_span"), "_source"))
     rows = rows.join(broadcast_if_small(offsets, offsets.count(), 120), ["_source", "_bucket"])
     within = Window.partitionBy("_source", "_bucket").orderBy("_order", "_tokens", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_c", F.col("_before") + F.coalesce(F.sum("_tokens").over(within), F.lit(0)))
-    y = F.col("_c") / F.col("_span")
-    t = F.when(F.col("_c") == 0, 0.0).otherwise(2 * y / (F.col("_a") + F.sqrt(F.greatest(F.lit(0.0), F.col("_a") * F.col("_a") + 2 * (F.col("_b") - F.col("_a")) * y))))
+    y = F.try_divide("_c", "_span")
+    t = F.when(F.col("_c") == 0, 0.0).otherwise(F.try_divide(2 * y, F.col("_a") + F.sqrt(F.greatest(F.lit(0.0), F.col("_a") * F.col("_a") + 2 * (F.col("_b") - F.col("_a")) * y))))
     rows = rows.where((F.col("_c") == 0) | F.col("_span").isNull() | (F.col("_c") < F.col("_span") * F.col("_mean")) | ((F.col("_tokens") == 0) & (F.col("_c") <= F.col("_span") * F.col("_mean"))))
     return rows.withColumn("_position", F.least(F.lit(1.0), F.coalesce(t, F.lit(0.0)))).drop("_source", "_order", "_bucket", "_before", "_a", "_b", "_mean", "_span", "_c")
 
