@@ -50,7 +50,7 @@ def rebalanced(shard_of: list[int], size: list[int], shards: int, tolerance: flo
         a, b = heavy[0][1], light[0][1]
         if load[a] <= tolerance * mean:
             break
-        fits = [s for s in held[a] if 0 < size[s] and load[b] + size[s] <= mean] or [s for s in held[a] if size[s]][:0] or sorted((s for s in held[a] if size[s]), key=lambda s: (size[s], s))[:1]
+        fits = [s for s in held[a] if 0 < size[s] and load[b] + size[s] <= mean] or sorted((s for s in held[a] if size[s]), key=lambda s: (size[s], s))[:1]
         s = max(fits, key=lambda s: (size[s], -s), default=None)
         if s is None or load[b] + size[s] >= load[a]:
             break
