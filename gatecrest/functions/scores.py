@@ -41,8 +41,8 @@ def language(path: Column) -> Column:
 
 def glob_regex(glob: str) -> str:
     """Anchored; ``**`` is anything, ``*`` anything within a directory; ``**/x/**`` also excludes x at the root."""
-    out = re.sub(r"([.+(){}^$|\[\]])", r"\\\1", glob).replace("**/", "\0").replace("**", ".*").replace("*", "[^/]*")
-    return "^" + out.replace("\0", "(?:.*/)?") + "$"
+    out = re.sub(r"([.+(){}^$|\[\]])", r"\\\1", glob).replace("**/", "\0").replace("**", "\1").replace("*", "[^/]*")
+    return "^" + out.replace("\0", "(?:.*/)?").replace("\1", ".*") + "$"
 
 
 def confidence(kind: Column, evidence: Column, unresolved: Column, depth_limited: Column, gated: Column) -> Column:
