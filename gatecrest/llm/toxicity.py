@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatecrest.llm.common import cut, list_array, slices, string_buffers
+from gatecrest.llm.common import cut, slices, string_buffers
 from gatecrest.llm.tokens import SLICE, Tokenizer
 
 #: Labelled documents of each class to train on at most, and of both together to calibrate on.
@@ -93,16 +93,39 @@ class Net:
         return np.where(np.diff(offsets) > 0, p, 0.0)
 
 
-def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> Net:
-    """Adagrad on the log loss. The first coordinate of an embedding starts as the log odds of its bucket in toxic documents."""
+def encoded(texts: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of the distinct words; the words of all texts as rows of them, 4 bytes each; the first word of each text."""
+    tokenizer = Tokenizer()
+    hashes, kinds, words, offsets = [], [], [], [np.zeros(1, np.int64)]
+    seen = count = 0
+    for col in texts:
+        for lo, hi in slices(string_buffers(col)[0], SLICE):
+            w = tokenizer(col.slice(lo, hi - lo))
+            one, at, back = np.unique(w.hashes, return_index=True, return_inverse=True)
+            hashes.append(one)
+            kinds.append(features(w)[at])
+            words.append((back + seen).astype(np.int32))
+            offsets.append(w.offsets[1:] + count)
+            seen, count = seen + len(one), count + len(back)
+    if not hashes:
+        return np.zeros((0, 2 + len(PREFIXES)), np.int32), np.zeros(0, np.int32), offsets[0]
+    _, at, back = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    return np.concatenate(kinds)[at], back.astype(np.int32)[np.concatenate(words)], np.concatenate(offsets)
+
+
+def train(docs: list[np.ndarray], vocabulary: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> Net:
+    """Adagrad on the log loss. The first coordinate of an embedding starts as the log odds of its bucket in toxic documents.
+
+    docs hold rows of vocabulary, the features of the distinct words.
+    """
     rng = np.random.default_rng(seed)
-    kinds = docs[0].shape[1]
+    kinds = vocabulary.shape[1]
     tables = (rng.normal(size=(kinds, BUCKETS, DIM)) * 0.02).astype(np.float32)
     tables[:, :, 0] = 0
     for k in range(kinds):
         seen = [np.ones(BUCKETS) * 0.5, np.ones(BUCKETS) * 0.5]
         for d, y in zip(docs, labels):
-            seen[int(y)][np.unique(d[:, k])] += 1
+            seen[int(y)][vocabulary[d, k]] += 1
         balance = np.log((labels == 0).sum() + 1) - np.log((labels == 1).sum() + 1)
         tables[k, :, 0] = (np.log(seen[1]) - np.log(seen[0]) + np.where(seen[0] + seen[1] > 1, balance, 0)) / (2 * kinds)
     total = FILTERS * len(WIDTHS)
@@ -120,7 +143,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed
             part = [docs[i] for i in order[s : s + 16]]
             y = labels[order[s : s + 16]].astype(np.float32)
             offsets = np.concatenate([[0], np.cumsum([len(d) for d in part])])
-            x = np.concatenate(part)
+            x = vocabulary[np.concatenate(part)]
             top, where, padded = net.pooled(x, offsets)
             p = 1 / (1 + np.exp(-(top @ net.out + net.out_bias)))
             g = ((p - y) / len(part)).astype(np.float32)
@@ -179,29 +202,18 @@ def fit(docs: DataFrame, labels: DataFrame, train_each: int = TRAIN_EACH, calibr
     picks.append(y.where("part = 1").orderBy("o", "doc_id").limit(calibrate))
     sample = cut(picks[0].union(picks[1]).union(picks[2]).select(F.col("doc_id").alias("id"), "toxic", "part"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            done = 0
-            for f, off in feature_lists(b.column("text")):
-                m = len(off) - 1
-                part = b.slice(done, m)
-                done += m
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], list_array(f.ravel(), off * f.shape[1], pa.int32())], names=["doc_id", "lang", "toxic", "part", "f"])
-
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").join(F.broadcast(sample), F.col("doc_id") == F.col("id")).where("text is not null")
-    rows = chosen.select("doc_id", "lang", F.col("toxic").cast("int").alias("toxic"), F.col("part").cast("int").alias("part"), "text").mapInArrow(run, "doc_id long, lang string, toxic int, part int, f array<int>").toArrow()
+    rows = chosen.select("doc_id", "lang", F.col("toxic").cast("int").alias("toxic"), F.col("part").cast("int").alias("part"), "text").toArrow()
     ids, lang, toxic, part = (np.array(rows.column(c).to_pylist()) for c in ("doc_id", "lang", "toxic", "part"))
-    lists = rows.column("f").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    kinds = 2 + len(PREFIXES)
-    flat, off = lists.values.to_numpy().reshape(-1, kinds), lists.offsets.to_numpy() // kinds
+    vocabulary, flat, off = encoded(rows.column("text").chunks)
+    del rows
     use = [i for i in np.argsort(ids, kind="stable") if off[i + 1] > off[i]]
     first = [i for i in use if part[i] == 0]
     if len({int(toxic[i] > 0) for i in first}) < 2:
         return None
-    net = train([flat[off[i] : off[i + 1]] for i in first], np.array([toxic[i] > 0 for i in first], np.int64))
+    net = train([flat[off[i] : off[i + 1]] for i in first], vocabulary, np.array([toxic[i] > 0 for i in first], np.int64))
     held = [i for i in use if part[i] == 1] or first
-    score = np.array([net.scores(flat[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]]))[0] for i in held])
+    score = np.array([net.scores(vocabulary[flat[off[i] : off[i + 1]]], np.array([0, off[i + 1] - off[i]]))[0] for i in held])
     truth = np.array([toxic[i] > 0 for i in held], np.int64)
     spoken = np.array([str(lang[i]) for i in held])
     net.default = best_threshold(score, truth)
