@@ -132,7 +132,7 @@ def events_of(nodes: DataFrame, edges: DataFrame, roots: DataFrame, operations:
     if not script:
         hit = matching.first_by(hit, ["project", "tool_file", "tool", "file", "line", "operation"], "tool_file", "tool_line", "ords", "ord")
     flows_in = F.exists("args", lambda a: F.coalesce(F.size(F.array_intersect(a["params"], F.col("tainted"))) > 0, F.lit(False)))
-    hit = hit.withColumn("flows", flows_in).withColumn("evidence_kind", F.when(F.col("kind") == "heuristic", "heuristic").when(F.col("flows"), "structural").otherwise(F.lit("semantic") if not script else F.col("kind")))
+    hit = hit.withColumn("flows", flows_in).withColumn("evidence_kind", F.col("kind") if script else F.when(F.col("kind") == "heuristic", "heuristic").when(F.col("flows"), "structural").otherwise("semantic"))
     labels = SCRIPT_LABELS if script else LABELS
     label = F.get(F.array(*(F.lit(v) for v in labels.values())), F.array_position(F.array(*(F.lit(k) for k in labels)), F.col("category")).cast("int") - 1)
     severity = F.col("severity") if script else F.when(F.col("operation").rlike(IRREVERSIBLE), "critical").otherwise(F.col("severity"))

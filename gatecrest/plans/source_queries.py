@@ -1,0 +1,50 @@
+"""The analysis of source files as queries. The given tables hold no source code, so these read small projects of their own."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gatecrest.plans import exposure, report
+from gatecrest.sources import files
+
+PROJECTS = {
+    "disk": {
+        "app/agent.py": "from langchain.tools import tool\nfrom app.disk import wipe\nfrom app.auth import guard\n@tool\ndef clean(path):\n    wipe(path)\n@tool\n@guard\ndef safe(path):\n    wipe(path)\n",
+        "app/disk.py": "import shutil\ndef wipe(p):\n    shutil.rmtree(p)\n",
+        "app/auth.py": "def guard(fn):\n    def inner(user, *args):\n        if not user.admin:\n            raise PermissionError('no')\n        return fn(user, *args)\n    return inner\n",
+    },
+    "manifest": {
+        "agent.py": "from openai import OpenAI\nfrom tools import calc, TOOLS\nclass Agent:\n    def __init__(self):\n        self.client = OpenAI()\n        self.tools = TOOLS\n        self.by_name = {'calc': calc}\n    def ask(self, q):\n        return self.client.chat.completions.create(model='m', tools=self.tools)\n",
+        "tools.py": "def calc(e):\n    return eval(e)\nTOOLS = [{'type': 'function', 'function': {'name': 'calc', 'parameters': {}}}]\n",
+    },
+    "server": {"src/server.ts": "import { McpServer } from '@modelcontextprotocol/sdk/server/mcp.js';\nimport { send } from './net';\nconst server = new McpServer({ name: 's' });\nserver.tool('post', { u: 1 }, async ({ u }) => { await send(u); });\n", "src/net.ts": "import axios from 'axios';\nexport async function send(u: string) { return axios.post(u); }\n"},
+}
+
+
+def analysis(spark: SparkSession) -> exposure.Analysis:
+    return exposure.analyse(files.from_sources(spark, [(p, f, t) for p, fs in PROJECTS.items() for f, t in fs.items()]))
+
+
+def source_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event of the projects, with paths and evidence as text."""
+    e = analysis(spark).events
+    return e.select(*(F.array_join(c, " > ").alias(c) if t.startswith("array") else F.col(c) for c, t in e.dtypes))
+
+
+def source_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = report.sorted_findings(analysis(spark).findings)
+    return f.select("project", "file", "line", "severity", "category", "operation", "tool", "framework", F.array_join("call_path", " > ").alias("call_path"), "evidence_kind", "confidence")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"source_events": source_events, "source_findings": source_findings}
+#: What the findings must be, by hand.
+SQL = {
+    "source_findings": """SELECT * FROM (VALUES
+ ('disk', 'app/disk.py', 3::INTEGER, 'critical', 'file_operation', 'File system operation: shutil.rmtree', 'clean', 'langchain', 'app/agent.py:clean > app/disk.py:wipe', 'structural', 0.98::DOUBLE),
+ ('manifest', 'tools.py', 2, 'critical', 'code_execution', 'Dynamic code execution: builtins.eval', 'calc', 'openai', 'tools.py:calc', 'structural', 0.98),
+ ('server', 'src/net.ts', 2, 'warning', 'api_call', 'HTTP operation: axios.post', 'post', 'mcp', 'src/server.ts:post > src/net.ts:send', 'semantic', 0.95))
+ AS t(project, file, line, severity, category, operation, tool, framework, call_path, evidence_kind, confidence)"""
+}

@@ -374,11 +374,11 @@ def depth_budget(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH RECURSIVE e AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
- t AS (SELECT user_id, n, event_id FROM e WHERE n = 1 UNION SELECT e.user_id, e.n, e.event_id FROM t JOIN e ON e.user_id = t.user_id AND e.n = t.n + 1 WHERE e.value < 80 AND e.n <= 12)
+ t AS (SELECT user_id, n, event_id FROM e WHERE n = 1 UNION SELECT e.user_id, e.n, e.event_id FROM t JOIN e ON e.user_id = t.user_id AND e.n = t.n + 1 WHERE e.value < 80)
  SELECT event_id, user_id FROM t""")
 def taint_fixpoint(spark: SparkSession, d: str) -> DataFrame:
-    """From each user's first event taint goes on to the next while its value is below 80, up to the twelfth."""
-    e = table(spark, d, "events").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("n <= 12").select("event_id", "user_id", "value", "n")
+    """From each user's first event taint goes on to the next while its value is below 80."""
+    e = table(spark, d, "events").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).select("event_id", "user_id", "value", "n")
     stop = F.max(F.when((F.col("n") > 1) & ~(F.col("value") < 80), 1).otherwise(0)).over(Window.partitionBy("user_id").orderBy("n"))
     return e.withColumn("stop", stop).where("stop = 0").select("event_id", "user_id")
 

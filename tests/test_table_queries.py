@@ -1,6 +1,6 @@
 import pytest
 
-from gatecrest.plans import table_queries
+from gatecrest.plans import source_queries, table_queries
 from tests.oracle import from_spark, from_sql
 
 SF = "/root/testdata/sf0.001"
@@ -8,12 +8,15 @@ SF = "/root/testdata/sf0.001"
 EMPTY = {"unreachable_roots", "rule_conversations"}
 
 
-@pytest.mark.parametrize("name", table_queries.QUERIES)
+QUERIES, SQL = table_queries.QUERIES | source_queries.QUERIES, table_queries.SQL | source_queries.SQL
+
+
+@pytest.mark.parametrize("name", QUERIES)
 def test_query_gives_what_its_sql_gives(spark, name):
-    got = from_spark(table_queries.QUERIES[name](spark, SF))
+    got = from_spark(QUERIES[name](spark, SF))
     assert got[1] or name in EMPTY
-    if name in table_queries.SQL:
-        assert got == from_sql(table_queries.SQL[name], SF)
+    if name in SQL:
+        assert got == from_sql(SQL[name], SF)
 
 
 def test_driver_contract(spark):
