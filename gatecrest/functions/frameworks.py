@@ -28,7 +28,7 @@ PYTHON_DECORATORS = (
     (r"llama_index.*[.]tool$", "llama-index"),
     (r"haystack.*[.]component$", "haystack"),
 )
-TOOL_BASES = ("BaseTool", "Tool", "StructuredTool", "DynamicTool", "FunctionTool", "QueryEngineTool", "BaseToolMixin", "PipelineTool", "CodeAgent", "KernelFunction", "KernelPlugin", "Component", "Action", "Role", "BaseRole", "BaseAction", "BaseCommand", "Command", "BaseAgent", "AgentAction", "AgentStep", "RuntimeAction", "AgentState", "BaseAgentState", "Toolkit", "BaseToolkit")
+TOOL_BASES = ("Action", "AgentAction", "AgentState", "AgentStep", "BaseAction", "BaseAgent", "BaseAgentState", "BaseCommand", "BaseRole", "BaseTool", "BaseToolMixin", "BaseToolkit", "CodeAgent", "Command", "Component", "DynamicTool", "FunctionTool", "KernelFunction", "KernelPlugin", "PipelineTool", "QueryEngineTool", "Role", "RuntimeAction", "StructuredTool", "Tool", "Toolkit")
 BASE_FRAMEWORK = {"BaseTool": "langchain", "StructuredTool": "langchain", "Tool": "langchain", "FunctionTool": "llama-index", "QueryEngineTool": "llama-index", "PipelineTool": "smolagents", "CodeAgent": "smolagents", "Component": "haystack"}
-RUN_METHODS = ("_run", "run", "execute", "arun", "_arun", "ainvoke", "__call__", "call", "perform", "_execute")
+RUN_METHODS = ("__call__", "_arun", "_execute", "_run", "ainvoke", "arun", "call", "execute", "perform", "run")
 BUILTINS = ("open", "eval", "exec", "compile", "__import__")

@@ -11,7 +11,7 @@ import re
 from dataclasses import dataclass
 
 CATEGORIES = {"shell": "shell_execution", "code": "code_execution", "file": "file_operation", "api": "api_call", "db": "database_operation", "tool": "tool_call"}
-RANK = {"critical": 0, "warning": 1, "info": 2, "suppressed": 3}
+RANK = {name: k for k, name in enumerate(("critical", "warning", "info", "suppressed"))}
 
 
 @dataclass(frozen=True)
@@ -27,7 +27,7 @@ def compiled(pattern: str) -> str:
     """The Java regular expression of a pattern."""
     start, s = ("", pattern[1:]) if pattern[0] == "*" else ("^", pattern)
     s = re.sub(r"(?<!\\)[.](?![*])", r"\\.", s)
-    for a, b in (("~", r"(?:\.[A-Za-z_][A-Za-z0-9_]*)*"), ("%a", "[a-z_]+"), ("%", r"\w+"), ("{", "(?:"), ("}", ")"), (",", "|")):
+    for a, b in (("~", r"(?:\.[a-z_][0-9a-z_]*)*"), ("%a", "[a-z_]+"), ("%", r"\w+"), ("{", "(?:"), ("}", ")"), (",", "|")):
         s = s.replace(a, b)
     return f"(?i){start}{s}$"
 

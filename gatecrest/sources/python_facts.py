@@ -28,8 +28,10 @@ KEYED = "struct<name:string,key:string,ref:string>"
 ROOT = "struct<ord:int,name:string,framework:string,evidence:string>"
 SCHEMA = f"project string, file string, language string, error string, functions array<{FUNCTION}>, calls array<{CALL}>, names array<{NAME}>, classes array<{CLASS}>, dispatch array<{KEYED}>, roots array<{ROOT}>"
 
-DENIALS = re.compile("permission(error|denied|exception)|authorization(error|exception)|unauthorized(error|exception)|accessdenied|forbidden|notauthorized|security(error|exception)|auth(entication)?error|accesserror|credentialserror|tokenerror|insufficientpermissions|policy(violation|error)")
-DENIAL_WORDS = re.compile(r"\b(auth|permission|access|forbidden|unauthorized|denied|security|credential|token|policy|not_?allowed|no_?access|invalid_?auth|require_?auth|check_?auth)\b", re.I)
+#: Parts of names of exceptions that refuse access, without dashes; and words that say so where they stand alone.
+DENIALS = re.compile("|".join(("access(denied|error)", "auth(entication)?error", "authorization(error|exception)", "credentialserror", "forbidden", "insufficientpermissions", "notauthorized", "permission(denied|error|exception)", "policy(error|violation)", "security(error|exception)", "tokenerror", "unauthorized(error|exception)")))
+_WORDS = ("access", "auth", "credential", "denied", "forbidden", "permission", "policy", "security", "token", "unauthorized") + tuple(f"{x}_?{y}" for y, xs in (("access", ("no",)), ("allowed", ("not",)), ("auth", ("check", "invalid", "require"))) for x in xs)
+DENIAL_WORDS = re.compile(rf"\b({'|'.join(_WORDS)})\b", re.I)
 
 
 def denies(exception: str) -> bool:
@@ -52,7 +54,7 @@ def chain(e: ast.AST | None) -> str | None:
 
 
 def schema_name(e: ast.Dict) -> str | None:
-    """The name in a literal {"type": "function", "function": {"name": ...}}."""
+    """The name that a literal tool schema of the function type declares."""
     at = {k.value: v for k, v in zip(e.keys, e.values) if isinstance(k, ast.Constant)}
     inner, kind = at.get("function"), at.get("type")
     if isinstance(inner, ast.Dict) and isinstance(kind, ast.Constant) and kind.value == "function":

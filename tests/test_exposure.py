@@ -66,7 +66,7 @@ PROJECTS = {
     "ts_later": {"a.ts": "import x from 'langchain';\nexport function go(c) { later(c); }\nfunction later(c) { eval(c); }\n"},
     "ts_plain": {"a.ts": "import fs from 'fs';\nexport function go(c) { fs.unlinkSync(c); }\nconst o = { run: (x) => eval(x) };\n"},
     "ts_mcp": {"a.ts": "import { McpServer } from '@modelcontextprotocol/sdk/server/mcp.js';\nimport axios from 'axios';\nconst server = new McpServer({ name: 's' });\nserver.tool('post', { u: 1 }, async ({ u }) => { await axios.post(u); });\n"},
-    "ts_schema": {"a.ts": "import OpenAI from 'openai';\nimport { exec } from 'child_process';\nconst tools = [{ type: 'function', function: { name: 'shell' } }];\nfunction shell(cmd) { exec(cmd); }\nfunction other(cmd) { exec(cmd); }\n"},
+    "ts_schema": {"a.ts": "import OpenAI from 'openai';\nimport { exec } from 'child_process';\nconst manifest = [{ function: { description: 'd', name: 'shell' }, type: 'function' }];\nfunction shell(cmd) { exec(cmd); }\nfunction other(cmd) { exec(cmd); }\n"},
     "ts_action": {"a.ts": "import { unlink } from 'fs';\nconst act: Action = { name: 'a', handler: async (rt, msg) => { unlink(msg.path); } };\nconst plain = { handler: (x) => { unlink(x); } };\n"},
     "ts_gate": {"a.ts": "import { Agent } from '@mastra/core';\nimport { rm } from 'fs/promises';\nexport async function erase(user, p) {\n  if (!user.admin) { throw new ForbiddenError('no'); }\n  await rm(p);\n}\n"},
     "ts_service": {"a.ts": "import { exec } from 'child_process';\nclass S extends BaseService {\n  async start(c) { this.go(c); }\n  go(c) { exec(c); }\n}\n"},
