@@ -83,12 +83,14 @@ def resolve(refs: DataFrame, names: DataFrame, rounds: int = MAX_ROUNDS) -> Data
     if it leads out of the project. A reference may come to several things, as a list does to its elements. Chains that
     lead back to themselves are dropped. crossed is whether another file was entered on the way.
     """
-    active = cut(refs.where("chain is not null and chain <> ''").select("rid", "project", "file", "fn", "cls", "chain", F.array(F.lit("")).alias("seen"), F.lit(False).alias("crossed")))
-    done = None
     none = F.lit(None).cast("string")
+    # ids are given as rows are checkpointed, so that they stay the same when a lost part is computed again
+    active = cut(refs.where("chain is not null and chain <> ''").select("rid", "project", "file", "fn", "cls", "chain", F.array(F.lit("")).alias("seen"), F.lit(False).alias("crossed")).withColumn("sid", F.monotonically_increasing_id()))
+    if active.isEmpty():
+        return active.select("rid", none.alias("node"), none.alias("identity"), "crossed")
+    done = None
     for _ in range(rounds):
-        state = active.withColumn("sid", F.monotonically_increasing_id())
-        state = cut(state)
+        state = active
         tried = state.where(~F.col("chain").startswith("#")).select("*", F.explode(prefixes(F.col("chain"))).alias("name")).withColumn("key", F.when(F.col("chain").startswith("@"), "").otherwise(F.col("file")))
         n = names.select("project", F.col("file").alias("key"), F.col("fn").alias("nfn"), F.col("cls").alias("ncls"), "name", "prio", "ord", "to_file", "to_fn", "to_cls", "to_chain", "node", "root")
         hit = tried.join(n, ["project", "key", "name"])
@@ -107,7 +109,7 @@ def resolve(refs: DataFrame, names: DataFrame, rounds: int = MAX_ROUNDS) -> Data
         done = step if done is None else done.unionByName(step)
         mark = F.concat_ws("|", "place", "new")
         follow = best.where(F.col("node").isNull() & (F.col("new") != "") & ~F.array_contains("seen", mark))
-        active = cut(follow.select("rid", "project", F.col("to_file").alias("file"), F.col("to_fn").alias("fn"), F.col("to_cls").alias("cls"), F.col("new").alias("chain"), F.concat("seen", F.array(mark)).alias("seen"), (F.col("crossed") | (F.col("to_file") != F.col("file"))).alias("crossed")).distinct())
+        active = cut(follow.select("rid", "project", F.col("to_file").alias("file"), F.col("to_fn").alias("fn"), F.col("to_cls").alias("cls"), F.col("new").alias("chain"), F.concat("seen", F.array(mark)).alias("seen"), (F.col("crossed") | (F.col("to_file") != F.col("file"))).alias("crossed")).distinct().withColumn("sid", F.monotonically_increasing_id()))
         if active.isEmpty():
             break
     return cut(done.distinct())
