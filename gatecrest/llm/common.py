@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast up to this many bytes; beyond it the join shuffles.
 BROADCAST_BYTES = 48 << 20
+#: Bytes of an Arrow batch of texts; a longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -29,6 +31,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the bytes of text that go to Python at once to BATCH_BYTES. Documents of many kilobytes make the default of 10,000 rows, or 64 MB, much of an executor's memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Hint a broadcast only where ``rows * row_bytes`` is within BROADCAST_BYTES."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

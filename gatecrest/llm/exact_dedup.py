@@ -16,11 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gatecrest.llm.common import broadcast_if_small, cut, slices, string_buffers
+from gatecrest.llm.common import broadcast_if_small, cut, slices, small_batches, string_buffers
 
 PRIMES, BASES = (2147483647, 2147483629), (1103515245, 1664525111)
 #: Bytes hashed in one dot product; bytes of a chunk row; bytes from which a text is hashed by chunk rows; bytes compared at once.
 BLOCK, CHUNK, HUGE, COMPARED = 4096, 1 << 20, 8 << 20, 1 << 16
+#: Bytes of texts that are hashed at once; bounds the working memory.
+HASHED = 1 << 18
 FP = ["_h1", "_h2", "_len"]
 
 
@@ -34,12 +36,22 @@ def power(base: int, exponents: np.ndarray, prime: int) -> np.ndarray:
     return out
 
 
+_LOW: dict[tuple[int, int], np.ndarray] = {}
+
+
+def low_powers(base: int, prime: int) -> np.ndarray:
+    if (base, prime) not in _LOW:
+        low = np.ones(BLOCK, np.uint64)
+        for k in range(1, BLOCK):
+            low[k] = low[k - 1] * np.uint64(base) % np.uint64(prime)
+        _LOW[base, prime] = low
+    return _LOW[base, prime]
+
+
 def polynomial(data: np.ndarray, offsets: np.ndarray, base: int, prime: int) -> np.ndarray:
     """The polynomial hash of each of the byte strings that offsets bound."""
     p = np.uint64(prime)
-    low = np.ones(BLOCK, np.uint64)
-    for k in range(1, BLOCK):
-        low[k] = low[k - 1] * np.uint64(base) % p
+    low = low_powers(base, prime)
     length = np.diff(offsets)
     blocks = np.maximum(-(-length // BLOCK), 0)
     doc = np.repeat(np.arange(len(length)), blocks)
@@ -67,7 +79,7 @@ def _hash(column: str) -> Column:
         for col in batches:
             offsets, data = string_buffers(col)
             h = [np.zeros(len(col), np.int64) for _ in PRIMES]
-            for lo, hi in slices(offsets, 1 << 20):
+            for lo, hi in slices(offsets, HASHED):
                 for k, (base, prime) in enumerate(zip(BASES, PRIMES)):
                     h[k][lo:hi] = polynomial(data, offsets[lo : hi + 1], base, prime).view(np.int64)
             yield pa.StructArray.from_arrays([pa.array(x) for x in h], names=["h1", "h2"])
@@ -81,6 +93,7 @@ def _hashed(df: DataFrame, column: str) -> DataFrame:
 
 def fingerprints(docs: DataFrame, huge: int = HUGE, chunk: int = CHUNK) -> DataFrame:
     """docs with _h1, _h2 and _len (bytes) of text; the text is not null."""
+    small_batches(docs.sparkSession)
     size = F.octet_length("text").cast("long")
     small = _hashed(docs.withColumn("_len", size).where(F.col("_len") <= huge), "text")
     large = docs.withColumn("_len", size).where(F.col("_len") > huge)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatecrest.llm.common import binary_rows, broadcast_if_small, cut, list_array, slices, string_buffers
+from gatecrest.llm.common import binary_rows, broadcast_if_small, cut, list_array, slices, small_batches, string_buffers
 from gatecrest.llm.components import connected_components
 from gatecrest.llm.tokens import SLICE, Tokenizer, mix, ngrams
 
@@ -288,6 +288,7 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, threshold: float) -> Dat
 
 def jaccard_edges(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Verified (a, b, jaccard), a < b, that connect all near duplicates found."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     sketch = cut(sketches(docs, n, bands, rows))
     firsts = sketch.groupBy("set_hash").agg(F.min("doc_id").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatecrest.llm.common import cut, list_array, slices, string_buffers
+from gatecrest.llm.common import cut, list_array, slices, small_batches, string_buffers
 from gatecrest.llm.tokens import SLICE, Tokenizer
 
 #: Random features; squared width of the kernel over standardised statistics; ridge; every CALIBRATE-th labelled document is kept for calibration, ISOTONIC of them at most.
@@ -129,6 +129,7 @@ def classify(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFram
     labels of both classes nothing can be learnt: score and probability are null and every text with a word is kept.
     Rows with equal text are judged alike. Other columns are ignored. No rows give no rows.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     x = cut(docs.select("doc_id", statistics_column(F.coalesce("text", F.lit(""))).alias("x")))
     usable = x.where("x[0] > 0")

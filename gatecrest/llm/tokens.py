@@ -13,7 +13,7 @@ from gatecrest.llm.common import string_buffers
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text that are handled at once; bounds the working memory, not the text.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def powers(base: int, n: int) -> np.ndarray:

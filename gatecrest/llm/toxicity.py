@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatecrest.llm.common import cut, slices, string_buffers
+from gatecrest.llm.common import cut, slices, small_batches, string_buffers
 from gatecrest.llm.tokens import SLICE, Tokenizer
 
 #: Labelled documents of each class to train on at most, and of both together to calibrate on.
@@ -196,6 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_each: int = TRAIN_EACH, calibr
 
     The sample goes by a hash of doc_id. Of several labels for a document the greatest counts; null labels don't.
     """
+    small_batches(labels.sparkSession)
     y = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     y = cut(y.withColumn("o", F.xxhash64("doc_id", F.lit(5))).withColumn("part", F.when(F.pmod("o", F.lit(10)) < 7, 0).otherwise(1)))
     picks = [y.where((F.col("part") == 0) & (F.col("toxic") == c)).orderBy("o", "doc_id").limit(train_each) for c in (0, 1)]
