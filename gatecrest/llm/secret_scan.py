@@ -14,12 +14,22 @@ from pyspark.sql import functions as F
 
 from gatecrest.llm.common import cut
 
+#: The whole block with its headers, up to its END line: keys of one type share their beginnings. A block that has no END
+#: line before the next BEGIN or END, or before the text ends, goes as far as its headers and lines of base64. Possessive, so
+#: that long blocks take no stack.
+PRIVATE_KEY = (
+    r"(-----BEGIN [A-Z ]*PRIVATE KEY-----(?:"
+    r"(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:\s*+[A-Za-z-]++:[^\n]*+)*+(?:\s*+[A-Za-z0-9+/=]{16,}+)*+(?:\s*+[A-Za-z0-9+/]*+=)?+))"
+)
+#: The SQL's patterns where they aren't those of the operator.
+SQL_PATTERNS = {"private_key": r"(-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,64})"}
 #: Kind, pattern (group 1 is the credential) and a literal that the text must hold before the pattern is tried.
 KINDS = (
     ("aws_access_key", r"(AKIA[0-9A-Z]{16})", ("AKIA",)),
     ("assigned_token", r"""(?:token|secret|api_key|apikey)[ ]*[=:][ ]*["']([A-Za-z0-9_+/-]{16,})["']""", ("token", "secret", "api_key", "apikey")),
     ("password", r"""password[ ]*[=:][ ]*["']?([A-Za-z0-9_!@#%^&*+-]{8,})""", ("password",)),
-    ("private_key", r"(-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,64})", ("PRIVATE KEY",)),
+    ("private_key", PRIVATE_KEY, ("PRIVATE KEY",)),
     ("github_token", r"(gh[pousr]_[A-Za-z0-9]{36,})", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     ("bearer_jwt", r"(eyJ[A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,})", ("eyJ",)),
 )
@@ -64,7 +74,8 @@ def scan(docs: DataFrame, owner: str = "source", language: str = "lang", example
 
 
 def oracle(example_owners: int = EXAMPLE_OWNERS) -> str:
-    arms = " UNION ALL ".join(f"SELECT doc_id, source, lang, '{kind}' AS kind, unnest(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}', 1)) AS s FROM documents WHERE " + " OR ".join(f"contains(text, '{w}')" for w in words) for kind, p, words in KINDS)
+    """The same in SQL, except that a private key goes by its first 64 characters; the given tables have none."""
+    arms = " UNION ALL ".join(f"SELECT doc_id, source, lang, '{kind}' AS kind, unnest(regexp_extract_all(text, '{SQL_PATTERNS.get(kind, p).replace(chr(39), chr(39) * 2)}', 1)) AS s FROM documents WHERE " + " OR ".join(f"contains(text, '{w}')" for w in words) for kind, p, words in KINDS)
     return f"""WITH hits AS ({arms}),
     hashed AS (SELECT doc_id, coalesce(source, '') AS owner, coalesce(source, '') || '/' || coalesce(lang, '') AS repository, kind, sha256(s) AS secret_hash FROM hits),
     spread AS (SELECT kind, secret_hash, count(DISTINCT doc_id)::BIGINT AS n_documents, count(DISTINCT repository)::BIGINT AS n_repositories, count(DISTINCT owner)::BIGINT AS n_owners FROM hashed GROUP BY 1, 2),

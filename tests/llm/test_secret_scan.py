@@ -1,0 +1,42 @@
+"""Candidates that the given tables don't have."""
+
+import base64
+import random
+
+from gatecrest.llm import secret_scan
+
+SCHEMA = "doc_id long, text string, lang string, source string"
+
+
+def body(seed, n, head=b""):
+    raw = base64.b64encode(head + random.Random(seed).randbytes(n)).decode()
+    return "\n".join(raw[k : k + 70] for k in range(0, len(raw), 70))
+
+
+def block(kind, seed, n=300, head=b"", lines=""):
+    return f"-----BEGIN {kind}PRIVATE KEY-----\n{lines}{body(seed, n, head)}\n-----END {kind}PRIVATE KEY-----"
+
+
+def scanned(spark, texts):
+    """Rows of the texts, each of an owner of its own."""
+    return secret_scan.scan(spark.createDataFrame([(k, t, "en", f"s{k}") for k, t in enumerate(texts)], SCHEMA)).orderBy("doc_id").collect()
+
+
+def test_keys_that_share_a_header_stay_apart(spark):
+    ssh = b"openssh-key-v1\0" + b"\0\0\0\4none" * 2 + b"\0" * 40
+    lines = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{:032X}\n\n"
+    for make in (lambda k: block("OPENSSH ", k, head=ssh), lambda k: block("RSA ", k, lines=lines.format(k))):
+        rows = scanned(spark, [f"mine: {make(k)} and more" for k in range(4)])
+        assert len({r.secret_hash for r in rows}) == 4
+        assert [(r.doc_id, r.kind, r.n_owners, r.verdict) for r in rows] == [(k, "private_key", 1, "live") for k in range(4)]
+        rows = scanned(spark, [f"text {k} {make(7)} tail {k}" for k in range(3)])
+        assert len({r.secret_hash for r in rows}) == 1 and all(r.verdict == "example" for r in rows)
+
+
+def test_private_keys_at_the_edges(spark):
+    a, b = block("", 1), block("EC ", 2)
+    cut = a[: a.index("-----END")]
+    rows = scanned(spark, [f"{a}\n{b}", f"{cut}\n{b}", f"{cut} then prose", f"{cut} or - other prose", block("", 3, 2_000_000), "-----BEGIN PRIVATE KEY-----" + "-a" * 300_000])
+    of = [{r.secret_hash for r in rows if r.doc_id == k} for k in range(6)]
+    assert [len(x) for x in of] == [2, 2, 1, 1, 1, 1]
+    assert len(of[0] & of[1]) == 1 and of[2] == of[3] and of[2] < of[1] and not of[2] & of[0]
