@@ -32,7 +32,9 @@ def rebalanced(shard_of: list[int], size: list[int], shards: int, tolerance: flo
     """Slots move, one at a time, from the fullest shard to the emptiest, as long as that lowers the greater of the two.
 
     Of a shard's slots the greatest that doesn't fill the emptiest shard beyond the mean goes, else the least; ties go to
-    the lower slot. The result is a function of the arguments alone.
+    the lower slot. A shard that no move lowers is set aside for good, as the emptiest one only grows, and the next
+    fullest follows, until no shard above the tolerance has a move. Each move lowers the sum of the squared loads, so
+    that comes. The result is a function of the arguments alone.
     """
     out, load, held = list(shard_of), [0] * shards, [[] for _ in range(shards)]
     for s, k in enumerate(out):
@@ -42,8 +44,9 @@ def rebalanced(shard_of: list[int], size: list[int], shards: int, tolerance: flo
     heavy, light = [(-b, k) for k, b in enumerate(load)], [(b, k) for k, b in enumerate(load)]
     heapq.heapify(heavy)
     heapq.heapify(light)
-    for _ in range(4 * len(out)):
-        while -heavy[0][0] != load[heavy[0][1]]:
+    aside: set[int] = set()
+    while len(aside) < shards:
+        while heavy[0][1] in aside or -heavy[0][0] != load[heavy[0][1]]:
             heapq.heappop(heavy)
         while light[0][0] != load[light[0][1]]:
             heapq.heappop(light)
@@ -53,7 +56,8 @@ def rebalanced(shard_of: list[int], size: list[int], shards: int, tolerance: flo
         fits = [s for s in held[a] if 0 < size[s] and load[b] + size[s] <= mean] or sorted((s for s in held[a] if size[s]), key=lambda s: (size[s], s))[:1]
         s = max(fits, key=lambda s: (size[s], -s), default=None)
         if s is None or load[b] + size[s] >= load[a]:
-            break
+            aside.add(a)
+            continue
         out[s] = b
         held[a].remove(s)
         held[b].append(s)
