@@ -2,12 +2,12 @@
 
 1. One pass over the texts gives each document a sketch: size and hash of its n-gram set, a bitmap of its grams, and
    ``BANDS`` keys of ``ROWS`` min-hashes each, which route it to blocks.
-2. Documents with the same set are joined to the one of least id; only that one goes on.
-3. Keys that two documents share make blocks. In a block the documents become the leaves of a signature tree, whose
-   nodes hold the OR of their bitmaps, the least bit count and the range of sizes. Dual traversal drops a pair of nodes
-   whose greatest possible overlap is too small for the threshold, and a pair whose documents are all known to belong
-   together.
-4. Surviving pairs are verified on their exact gram sets; the verified pairs' connected components are the groups.
+2. Documents with the same set are a class; only its set goes on, once.
+3. Keys that two sets share make blocks. In a block the sets become the leaves of a signature tree, whose nodes hold the
+   OR of their bitmaps, the least bit count and the range of sizes. Dual traversal drops a pair of nodes whose greatest
+   possible overlap is too small for the threshold and, where only the groups are asked for, a pair whose sets are all
+   known to belong together.
+4. Surviving pairs are verified on the exact sets; the connected components of verified pairs and classes are the groups.
 """
 
 from __future__ import annotations
@@ -56,6 +56,10 @@ def bitmap(grams: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(b).view(np.uint64)
 
 
+def set_hash(grams: np.ndarray) -> int:
+    return int((mix(grams).sum(dtype=np.uint64) ^ mix(np.array([len(grams)], np.uint64))[0]).astype(np.int64))
+
+
 def sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, n, set_hash, keys, bits, wide) of each text with a word."""
 
@@ -70,12 +74,11 @@ def sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     key = salt.copy()
                     for r in range(rows):
                         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + low[:, r])
-                    same = int(mix(g).sum(dtype=np.uint64) ^ mix(np.array([len(g)], np.uint64))[0])
-                    out.append((i, len(g), same, key, bitmap(g, BITS), bitmap(g, WIDE_BITS).tobytes() if len(g) > WIDE_FROM else None))
+                    out.append((i, len(g), set_hash(g), key, bitmap(g, BITS), bitmap(g, WIDE_BITS).tobytes() if len(g) > WIDE_FROM else None))
             if out:
                 i, size, same, key, bits, wide = zip(*out)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(i, pa.int64()), pa.array(size, pa.int32()), pa.array(np.array(same, np.uint64).view(np.int64)), list_array(np.concatenate(key).view(np.int64), np.arange(len(out) + 1) * bands, pa.int64()), binary_rows(np.stack(bits)), pa.array(wide, pa.binary())],
+                    [pa.array(i, pa.int64()), pa.array(size, pa.int32()), pa.array(same, pa.int64()), list_array(np.concatenate(key).view(np.int64), np.arange(len(out) + 1) * bands, pa.int64()), binary_rows(np.stack(bits)), pa.array(wide, pa.binary())],
                     names=["doc_id", "n", "set_hash", "keys", "bits", "wide"],
                 )
 
@@ -83,14 +86,14 @@ def sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
 
 class Block:
-    """Documents of one block, in order of size."""
+    """Sets of one block, in order of size. ``linked``: whether pairs that are known to be linked already are left out."""
 
-    def __init__(self, ids: np.ndarray, sizes: np.ndarray, bits: np.ndarray, wide: list, threshold: float) -> None:
-        self.ids, self.n, self.bits, self.t = ids, sizes.astype(np.int64), bits, threshold
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, bits: np.ndarray, wide: list, threshold: float, linked: bool = False) -> None:
+        self.ids, self.n, self.bits, self.t, self.linked = ids, sizes.astype(np.int64), bits, threshold, linked
         self.wide = wide
         self.pop = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
         self.parent = list(range(len(ids)))
-        self.found: list[tuple[int, int]] = []
+        self.found: list[np.ndarray] = []
         self.level: list[dict] = []
 
     def find(self, x: int) -> int:
@@ -137,7 +140,7 @@ class Block:
         return most * (1 + self.t) >= self.t * (lv["min"][i] + lv["min"][j])
 
     def cross(self, k: int, i: int, j: int) -> None:
-        if i != j and (c := self.component(k, i)) >= 0 and c == self.component(k, j) or not (i == j or self.possible(k, i, j)):
+        if self.linked and i != j and (c := self.component(k, i)) >= 0 and c == self.component(k, j) or not (i == j or self.possible(k, i, j)):
             return
         if k == 0:
             self.compare(i, j)
@@ -159,6 +162,11 @@ class Block:
         if i == j:
             x, y = x[x < y], y[x < y]
         open_, sure = likely(self.n[x], self.n[y], self.bits[x], self.bits[y], self.t)
+        if not self.linked:
+            x, y = x[open_], y[open_]
+            keep = wide_open(self.n, self.wide, x, y, self.t)
+            self.found.append(np.stack([x[keep], y[keep]], 1))
+            return
         for p, q, s in zip(x[open_].tolist(), y[open_].tolist(), sure[open_].tolist()):
             if (r := self.find(p)) == (s_ := self.find(q)):
                 continue
@@ -167,14 +175,14 @@ class Block:
                 if not o[0]:
                     continue
                 s = bool(u[0])
-            self.found.append((p, q))
+            self.found.append(np.array([[p, q]]))
             if s:
                 self.parent[max(r, s_)] = min(r, s_)
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         top = len(self.build()) - 1
         self.cross(top, 0, 0)
-        p = np.array(self.found, np.int64).reshape(-1, 2)
+        p = np.concatenate(self.found) if self.found else np.zeros((0, 2), np.int64)
         return self.ids[p[:, 0]], self.ids[p[:, 1]]
 
 
@@ -197,6 +205,11 @@ def likely(na: np.ndarray, nb: np.ndarray, a: np.ndarray, b: np.ndarray, t: floa
     return open_, sure & open_
 
 
+def wide_open(sizes: np.ndarray, wide: list, p: np.ndarray, q: np.ndarray, t: float) -> np.ndarray:
+    """Of pairs (p, q), those that the wide bitmaps leave open; all pairs of which a set has none."""
+    return np.array([wide[a] is None or wide[b] is None or likely(sizes[[a]].astype(np.int64), sizes[[b]].astype(np.int64), np.frombuffer(wide[a], np.uint64)[None], np.frombuffer(wide[b], np.uint64)[None], t)[0][0] for a, b in zip(p.tolist(), q.tolist())], bool)
+
+
 def tiny_pairs(ids: np.ndarray, sizes: np.ndarray, bits: np.ndarray, wide: list, starts: np.ndarray, counts: np.ndarray, t: float) -> list[tuple[np.ndarray, np.ndarray]]:
     """Pairs of all blocks of up to TINY documents; every pair that can reach the threshold is given."""
     out = []
@@ -208,33 +221,42 @@ def tiny_pairs(ids: np.ndarray, sizes: np.ndarray, bits: np.ndarray, wide: list,
             p, q = x[k : k + 20_000], y[k : k + 20_000]
             ok, _ = likely(sizes[p].astype(np.int64), sizes[q].astype(np.int64), bits[p], bits[q], t)
             p, q = p[ok], q[ok]
-            keep = [wide[a] is None or wide[b] is None or likely(sizes[[a]].astype(np.int64), sizes[[b]].astype(np.int64), np.frombuffer(wide[a], np.uint64)[None], np.frombuffer(wide[b], np.uint64)[None], t)[0][0] for a, b in zip(p, q)]
-            p, q = p[np.array(keep, bool)], q[np.array(keep, bool)]
+            keep = wide_open(sizes, wide, p, q, t)
+            p, q = p[keep], q[keep]
             out.append((ids[p], ids[q]))
     return out
 
 
-def block_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs (a, b), a < b, of rows (key, doc_id, n, bits, wide) that come sorted by key, n and doc_id."""
+def block_pairs(rows: DataFrame, threshold: float, linked: bool) -> DataFrame:
+    """Candidate pairs (a, b), a < b, of rows (key, set_hash, n, bits, wide) that come sorted by key, n and set_hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
             key = t.column("key").to_numpy()
-            ids, sizes = t.column("doc_id").to_numpy(), t.column("n").to_numpy()
+            ids, sizes = t.column("set_hash").to_numpy(), t.column("n").to_numpy()
             bits = string_buffers(t.column("bits"))[1].view(np.uint64).reshape(len(ids), -1)
             wide = t.column("wide").to_pylist() if t.column("wide").null_count < len(ids) else [None] * len(ids)
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             counts = np.diff(np.append(starts, len(key)))
-            out = tiny_pairs(ids, sizes, bits, wide, starts, counts, threshold)
+            yield from packed(tiny_pairs(ids, sizes, bits, wide, starts, counts, threshold))
+            out, held_ = [], 0
             for s, c in zip(starts[counts > TINY], counts[counts > TINY]):
-                out.append(Block(ids[s : s + c], sizes[s : s + c], bits[s : s + c], wide[s : s + c], threshold).pairs())
-            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*out))
+                out.append(Block(ids[s : s + c], sizes[s : s + c], bits[s : s + c], wide[s : s + c], threshold, linked).pairs())
+                held_ += len(out[-1][0])
+                if held_ > 500_000:
+                    yield from packed(out)
+                    out, held_ = [], 0
+            yield from packed(out)
+
+        def packed(out: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            a, b = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
             a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
             if len(a):
                 both = np.unique(np.stack([a, b], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+                for k in range(0, len(both), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(both[k : k + 100_000, 0]), pa.array(both[k : k + 100_000, 1])], names=["a", "b"])
 
         for batch in batches:
             if batch.num_rows == 0:
@@ -251,16 +273,17 @@ def block_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of the pairs whose exact sets reach the threshold. The set of a is sent once for all its pairs."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    texts = docs.join(broadcast_if_small(ids, ids.count(), 40), "doc_id", "left_semi")
+def verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of the pairs of set hashes whose exact sets reach the threshold. firsts has a document (set_hash, doc_id) of each set. The set of a is sent once for all its pairs."""
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("set_hash")).distinct().join(firsts, "set_hash").select("doc_id").distinct())
+    texts = docs.join(broadcast_if_small(ids, ids.count(), 40), "doc_id", "left_semi").select("text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [g.tobytes() for g in gram_sets(b.column(1), n)]
+            found = [(set_hash(g), g.tobytes()) for g in gram_sets(b.column(0), n) if len(g)]
             for k in range(0, len(found), 500):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 500), pa.array(found[k : k + 500], pa.binary())], names=["doc_id", "grams"])
+                h, g = zip(*found[k : k + 500])
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(g, pa.binary())], names=["set_hash", "grams"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, own = None, []
@@ -278,47 +301,85 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, threshold: float) -> Dat
                 a, b, j = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(j, pa.float64())], names=["a", "b", "jaccard"])
 
-    grams = texts.mapInArrow(sets, "doc_id long, grams binary").dropDuplicates(["doc_id", "grams"])
-    hubs = grams.join(pairs.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
-    members = pairs.withColumnRenamed("b", "doc_id").join(grams, "doc_id").select("a", F.col("doc_id").alias("b"), "grams")
+    grams = texts.mapInArrow(sets, "set_hash long, grams binary").dropDuplicates(["set_hash", "grams"])
+    hubs = grams.join(pairs.select(F.col("a").alias("set_hash")).distinct(), "set_hash", "left_semi").select(F.col("set_hash").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
+    members = pairs.withColumnRenamed("b", "set_hash").join(grams, "set_hash").select("a", F.col("set_hash").alias("b"), "grams")
     both = hubs.union(members).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
     found = both.mapInArrow(compare, "a long, b long, jaccard double")
     return found.where(F.col("jaccard") >= threshold).groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
 
 
-def jaccard_edges(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Verified (a, b, jaccard), a < b, that connect all near duplicates found."""
+def set_pairs(docs: DataFrame, n: int, threshold: float, bands: int, rows: int, linked: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sets and their pairs: the least document (set_hash, doc_id) of each set; the others of its class (set_hash, first, doc_id); verified (a, b, jaccard) of sets.
+
+    With ``linked``, pairs of sets that other pairs of a block link already are left out, which changes no group.
+    """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     sketch = cut(sketches(docs, n, bands, rows))
-    firsts = sketch.groupBy("set_hash").agg(F.min("doc_id").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
-    copies = cut(sketch.select("set_hash", F.col("doc_id").alias("b")).join(firsts, "set_hash").where("a <> b").select("a", "b", F.lit(1.0).alias("jaccard"), "set_hash").distinct())
-    gone = copies.select(F.col("b").alias("doc_id"), "set_hash")
+    least = sketch.groupBy("set_hash").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    copies = cut(sketch.select("set_hash", "doc_id").join(least, "set_hash").where("first <> doc_id").select("set_hash", "first", "doc_id").distinct())
+    gone = copies.select("doc_id", "set_hash")
     rest = sketch.join(broadcast_if_small(gone, gone.count(), 40), ["doc_id", "set_hash"], "left_anti")
-    keyed = rest.select(F.explode("keys").alias("key"), "doc_id", "set_hash").distinct()
+    firsts = cut(rest.select("set_hash", "doc_id").distinct())
+    keyed = rest.select(F.explode("keys").alias("key"), "set_hash").distinct()
     shared = keyed.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1").drop("c")
-    rows_ = shared.join(rest.select("doc_id", "set_hash", "n", "bits", "wide").dropDuplicates(["doc_id", "set_hash"]), ["doc_id", "set_hash"]).select("key", "doc_id", "n", "bits", "wide")
-    pairs = cut(block_pairs(rows_.repartition("key").sortWithinPartitions("key", "n", "doc_id"), threshold).distinct())
-    return verified(docs, pairs, n, threshold).unionByName(copies.drop("set_hash"))
+    rows_ = shared.join(rest.select("set_hash", "n", "bits", "wide").dropDuplicates(["set_hash"]), "set_hash").select("key", "set_hash", "n", "bits", "wide")
+    pairs = cut(block_pairs(rows_.repartition("key").sortWithinPartitions("key", "n", "set_hash"), threshold, linked).distinct())
+    return firsts, copies, cut(verified(docs, firsts, pairs, n, threshold))
+
+
+def groups(firsts: DataFrame, copies: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc_id, group_id) of the documents that have a near duplicate."""
+    end = lambda c: firsts.select(F.col("set_hash").alias(c), F.col("doc_id").alias("u" if c == "a" else "v"))
+    edges = pairs.join(end("a"), "a").join(end("b"), "b").select("u", "v").union(copies.select(F.col("first").alias("u"), F.col("doc_id").alias("v")))
+    return connected_components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"))
 
 
 def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, group_id, match_id, jaccard, group_size) of every document that has a near duplicate.
+    """(doc_id, group_id, match_id, jaccard, group_size, set_hash, partners) of every document that has a near duplicate.
 
     Two documents are near duplicates if the Jaccard coefficient of their sets of word n-grams is at least
     ``threshold``; groups are closed under that relation, and group_id is a group's least doc_id. match_id is the
-    partner that a document was verified against with the greatest jaccard (of equal ones the least id).
+    nearest of all partners found (of equal ones the least id).
+
+    All verified pairs are there, in compact form: documents of the same set have the same set_hash, and partners, on the
+    row of a set's least document and null on the others, lists (set_hash, jaccard) of every other set that reaches the
+    threshold. pairs() expands them.
 
     Documents whose doc_id or text is null, or whose text has no word, match nothing and are not in the result. A text
-    of fewer than n words has one gram. Rows with the same doc_id are one document, similar where any of its texts is.
-    Only doc_id and text are read, so other columns, whatever their names, change nothing. No rows give no rows.
+    of fewer than n words has one gram. Rows with the same doc_id are one document, similar where any of its texts is;
+    it has a row for each of its sets that matches another document. Only doc_id and text are read, so other columns,
+    whatever their names, change nothing. No rows give no rows.
     """
-    edges = cut(jaccard_edges(docs, n, threshold, bands, rows))
-    groups = connected_components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "group_id")
-    sizes = groups.groupBy("group_id").agg(F.count("*").alias("group_size"))
-    ends = edges.select(F.col("a").alias("doc_id"), F.col("b").alias("m"), "jaccard").union(edges.select(F.col("b").alias("doc_id"), F.col("a").alias("m"), "jaccard"))
-    best = ends.groupBy("doc_id").agg(F.max(F.struct("jaccard", (-F.col("m")).alias("m"))).alias("x"))
-    return groups.join(best, "doc_id").join(sizes, "group_id").select("doc_id", "group_id", (-F.col("x.m")).alias("match_id"), F.round("x.jaccard", 6).alias("jaccard"), "group_size")
+    firsts, copies, verified_ = set_pairs(docs, n, threshold, bands, rows, linked=False)
+    group = cut(groups(firsts, copies, verified_))
+    sizes = group.groupBy("group_id").agg(F.count("*").alias("group_size"))
+    seconds = copies.groupBy("set_hash").agg(F.min("doc_id").alias("second"))
+    known = verified_.select(F.explode(F.array("a", "b")).alias("set_hash")).union(copies.select("set_hash")).distinct()
+    sets = cut(firsts.withColumnRenamed("doc_id", "first").join(known, "set_hash").join(seconds, "set_hash", "left"))
+    ends = verified_.select(F.col("a").alias("set_hash"), F.col("b").alias("o"), "jaccard").union(verified_.select(F.col("b").alias("set_hash"), F.col("a").alias("o"), "jaccard"))
+    ends = ends.join(sets.select("set_hash", "first"), "set_hash").join(sets.select(F.col("set_hash").alias("o"), F.col("first").alias("o1"), F.col("second").alias("o2")), "o")
+    other = F.when(F.col("o1") != F.col("first"), F.col("o1")).otherwise(F.col("o2"))  # of a set of one document
+    best = F.max(F.when(other.isNotNull(), F.struct("jaccard", (-other).alias("m")))).alias("best")
+    lists = ends.groupBy("set_hash").agg(best, F.sort_array(F.collect_list(F.struct(F.col("o").alias("set_hash"), F.round("jaccard", 6).alias("jaccard")))).alias("partners"))
+    sets = sets.join(lists, "set_hash", "left")
+    match = lambda df, m, j, p: df.select("doc_id", "set_hash", m.alias("match_id"), j.alias("jaccard"), p.alias("partners"))
+    mine = match(sets.withColumn("doc_id", F.col("first")), F.coalesce("second", -F.col("best.m")), F.when(F.col("second").isNotNull(), 1.0).otherwise(F.round("best.jaccard", 6)), F.col("partners"))
+    theirs = match(copies, F.col("first"), F.lit(1.0), F.lit(None).cast(mine.schema["partners"].dataType))
+    out = mine.where("match_id is not null").union(theirs)
+    return out.join(group, "doc_id").join(sizes, "group_id").select("doc_id", "group_id", "match_id", "jaccard", "group_size", "set_hash", "partners")
+
+
+def pairs(near: DataFrame) -> DataFrame:
+    """(a, b, jaccard), a < b, of every pair in the result of near_duplicates(). That of a large class is quadratic."""
+    member = near.select("set_hash", "doc_id")
+    end = lambda c, k: member.select(F.col("set_hash").alias(k), F.col("doc_id").alias(c))
+    listed = near.select(F.col("set_hash").alias("p"), F.explode("partners").alias("x")).select("p", F.col("x.set_hash").alias("q"), "x.jaccard").where("p < q")
+    across = listed.join(end("a", "p"), "p").join(end("b", "q"), "q").select("a", "b", "jaccard")
+    same = end("a", "p").join(end("b", "p"), "p").select("a", "b", F.lit(1.0).alias("jaccard"))
+    both = across.union(same).where("a <> b")
+    return both.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("jaccard").alias("jaccard"))
 
 
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
@@ -327,5 +388,5 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataF
     Of rows with the same doc_id all stay or all go, so repeated rows of a kept document stay. Rows with a null doc_id or
     text, or with no word, stay. All columns are kept.
     """
-    gone = cut(near_duplicates(docs, n, threshold).where("doc_id <> group_id").select(F.col("doc_id").alias("_gone")))
+    gone = cut(groups(*set_pairs(docs, n, threshold, BANDS, ROWS, linked=True)).where("doc_id <> group_id").select(F.col("doc_id").alias("_gone")))
     return docs.join(broadcast_if_small(gone, gone.count(), 40), docs["doc_id"] == gone["_gone"], "left_anti")
