@@ -3,24 +3,30 @@
 Each partition packs its own documents best-fit, longest first, and emits the bins that are nearly full. Underfull bins
 go up a tree: as items of their own they meet those of other partitions and are packed again, until one node holds what
 is left, or a round no longer merges anything.
+
+pack_in_order() packs within consecutive ranges of the rows' order instead, so that a curriculum outlives packing.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatecrest.llm.common import cut
+from gatecrest.llm.common import broadcast_if_small, cut
 from gatecrest.llm.mixing import tokens
 
 CAPACITY = 2048
 #: Share of the capacity from which a bin counts as nearly full; underfull bins that one node takes.
 FULL, NODE = 0.98, 20_000
+#: Capacities that a range of pack_in_order() holds.
+RANGE = 256
 
 ITEM = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("tokens", pa.int32())])
 BIN = "bin_id string, used int, level int, items array<struct<doc_id:bigint,piece:int,start:bigint,tokens:int>>"
@@ -98,3 +104,50 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, full: float = FULL, node: in
     items = out.select("bin_id", F.col("used").alias("bin_tokens"), F.posexplode("items").alias("k", "x"), "items")
     offset = F.aggregate(F.slice("items", F.lit(1), F.col("k")), F.lit(0), lambda s, i: s + i["tokens"])
     return items.select("bin_id", "bin_tokens", "x.doc_id", "x.piece", "x.start", "x.tokens", offset.alias("bin_offset"))
+
+
+def row_order(docs: DataFrame) -> DataFrame:
+    """docs with _file and _row, the place of each row: in the files that docs is read from, or else in its partitions."""
+    try:
+        return docs.withColumn("_file", F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1)).withColumn("_file", F.when(F.col("_file") != "", F.col("_file").cast("long")).otherwise(0)).withColumn("_row", F.col("_metadata.row_index"))
+    except AnalysisException:
+        return docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_file", F.shiftright("_row", 33))
+
+
+def pack_in_order(docs: DataFrame, capacity: int = CAPACITY, range_: int = RANGE) -> DataFrame:
+    """pack()'s columns and position, of docs whose row order counts: mixing.mixed() as it is, or written and read again.
+
+    A document's offset is the number of tokens before it. Documents whose offsets lie in one range of ``range_``
+    capacities are packed best-fit, longest first, with each other only. A bin's position is the mean of its documents'
+    offsets, weighted by their tokens in it, as a share of all tokens; so every bin of a range comes before those of the
+    next. The rows are range-sorted by position. As with pack(), no token is lost, repeated or moved within its document.
+    """
+    narrow = cut(row_order(docs).select("_file", "_row", F.col("doc_id").cast("long").alias("doc_id"), tokens("text").alias("n")).where("n > 0"))
+    files = narrow.groupBy("_file").agg(F.sum("n").alias("s"))
+    before = files.select("_file", F.coalesce(F.sum("s").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a file
+    total = narrow.agg(F.sum("n")).first()[0] or 1
+    within = Window.partitionBy("_file").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    placed = narrow.join(broadcast_if_small(before, files.count(), 40), "_file").withColumn("at", F.col("before") + F.coalesce(F.sum("n").over(within), F.lit(0)))
+    placed = placed.select(F.floor(F.col("at") / (range_ * capacity)).alias("r"), "at", "doc_id", "n").repartition("r").sortWithinPartitions("r", "at")
+
+    def packed(r: int, rows: list[tuple[int, int, int | None, int]]) -> Iterator[tuple]:
+        items = [(at, p) for _, at, d, n in rows for p in pieces(d, n, capacity)]
+        items.sort(key=lambda x: (-x[1]["tokens"], x[0], x[1]["piece"]))
+        for k, b in enumerate(best_fit([p["tokens"] for _, p in items], capacity)):
+            used, offset = sum(items[i][1]["tokens"] for i in b), 0
+            position = sum(items[i][0] * items[i][1]["tokens"] for i in b) / used / total
+            for i in sorted(b, key=lambda i: (items[i][0], items[i][1]["piece"])):  # in order within the bin, too
+                p = items[i][1]
+                yield f"{r}-{k}", used, p["doc_id"], p["piece"], p["start"], p["tokens"], offset, position
+                offset += p["tokens"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+        for r, part in groupby(rows, key=lambda x: x[0]):
+            out = list(packed(r, list(part)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
+    names = ["bin_id", "bin_tokens", "doc_id", "piece", "start", "tokens", "bin_offset", "position"]
+    out = cut(placed.mapInArrow(run, "bin_id string, bin_tokens int, doc_id long, piece int, start long, tokens int, bin_offset int, position double"))
+    return out.repartitionByRange("position", "bin_id").sortWithinPartitions("position", "bin_id", "bin_offset")
