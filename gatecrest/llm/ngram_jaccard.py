@@ -1,35 +1,43 @@
 """Near duplicates by a Jaccard join of word n-gram sets over signature trees.
 
 1. One pass over the texts gives each document a sketch: size and hash of its n-gram set, a bitmap of its grams, and
-   ``BANDS`` keys of ``ROWS`` min-hashes each, which route it to blocks.
-2. Documents with the same set are a class; only its set goes on, once.
-3. Keys that two sets share make blocks. In a block the sets become the leaves of a signature tree, whose nodes hold the
-   OR of their bitmaps, the least bit count and the range of sizes. Dual traversal drops a pair of nodes whose greatest
-   possible overlap is too small for the threshold and, where only the groups are asked for, a pair whose sets are all
-   known to belong together.
-4. Surviving pairs are verified on the exact sets; the connected components of verified pairs and classes are the groups.
+   ``BANDS`` keys of ``ROWS`` min-hashes each. Documents with the same set are a class, of which one goes on.
+2. Sets that share a key meet in a block. A block is a job; that of more than ``PART`` sets is cut into parts by size class
+   and hash, and every two parts whose size ranges leave the threshold possible make a job of their own, so that no task
+   holds more than two parts and no pair is lost.
+3. In a job the sets become the leaves of signature trees, whose nodes hold the OR of the bitmaps below, their least bit
+   count and the range of sizes. Dual traversal, level by level for all jobs at hand, drops the pairs of nodes whose
+   greatest possible overlap is too small, then pairs of sets by the same bounds.
+4. Surviving pairs are verified on the exact sets. Sets that have a neighbour in common share a tile of bounded size, and
+   a set is sent once for every two tiles that have pairs, not once a pair.
+5. The connected components of verified pairs and classes are the groups.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatecrest.llm.common import binary_rows, broadcast_if_small, cut, list_array, slices, small_batches, string_buffers
 from gatecrest.llm.components import connected_components
 from gatecrest.llm.tokens import SLICE, Tokenizer, mix, ngrams
 
-N, THRESHOLD, BANDS, ROWS = 3, 0.5, 40, 4
+N, THRESHOLD, BANDS, ROWS = 3, 0.5, 24, 2
 #: Bits of the bitmap that every set has, and of the wider one of sets of more than WIDE_FROM grams.
 BITS, WIDE_BITS, WIDE_FROM = 2048, 16384, 1500
-#: Documents in a leaf and children of a node.
-LEAF, FAN = 16, 8
-#: Blocks of up to this many documents are one leaf each and are compared many at a time.
-TINY = 4
+#: Sets in a leaf and children of a node.
+LEAF, FAN = 8, 8
+#: Sets of a part: a block of more is cut.
+PART = 4096
+#: Weight of the sets of a tile, where a set weighs as many as its grams and SET_WEIGHT more.
+TILE, SET_WEIGHT = 1 << 20, 512
+#: Pairs that are looked at in one step; bounds the working memory.
+STEP = 1 << 14
 
 
 def gram_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -85,184 +93,162 @@ def sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n int, set_hash long, keys array<long>, bits binary, wide binary")
 
 
-class Block:
-    """Sets of one block, in order of size. ``linked``: whether pairs that are known to be linked already are left out."""
-
-    def __init__(self, ids: np.ndarray, sizes: np.ndarray, bits: np.ndarray, wide: list, threshold: float, linked: bool = False) -> None:
-        self.ids, self.n, self.bits, self.t, self.linked = ids, sizes.astype(np.int64), bits, threshold, linked
-        self.wide = wide
-        self.pop = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
-        self.parent = list(range(len(ids)))
-        self.found: list[np.ndarray] = []
-        self.level: list[dict] = []
-
-    def find(self, x: int) -> int:
-        while self.parent[x] != x:
-            self.parent[x] = self.parent[self.parent[x]]
-            x = self.parent[x]
-        return x
-
-    def build(self) -> list[dict]:
-        """The tree's levels, leaves first; each level holds its nodes' bounds as arrays."""
-        m = len(self.ids)
-        lo = np.arange(0, m, LEAF)
-        level = {"lo": lo, "hi": np.append(lo[1:], m), "or": np.bitwise_or.reduceat(self.bits, lo, axis=0), "pop": np.minimum.reduceat(self.pop, lo), "min": np.minimum.reduceat(self.n, lo), "max": np.maximum.reduceat(self.n, lo)}
-        self.level = [level]
-        while len(level["lo"]) > 1:
-            at = np.arange(0, len(level["lo"]), FAN)
-            level = {"lo": level["lo"][at], "hi": np.append(level["lo"][at][1:], m), "or": np.bitwise_or.reduceat(level["or"], at, axis=0), "pop": np.minimum.reduceat(level["pop"], at), "min": np.minimum.reduceat(level["min"], at), "max": np.maximum.reduceat(level["max"], at)}
-            self.level.append(level)
-        self.one: dict[tuple[int, int], int] = {}
-        return self.level
-
-    def component(self, k: int, i: int) -> int:
-        """The component that all documents of the node are known to share, or -1."""
-        known = self.one.get((k, i))
-        if known is None:
-            lv = self.level[k]
-            if k == 0:
-                roots = {self.find(x) for x in range(lv["lo"][i], lv["hi"][i])}
-            else:
-                roots = {self.component(k - 1, c) for c in range(i * FAN, min(len(self.level[k - 1]["lo"]), i * FAN + FAN))}
-            if len(roots) > 1 or -1 in roots:
-                return -1
-            self.one[k, i] = known = next(iter(roots))
-        return self.find(known)
-
-    def possible(self, k: int, i: int, j: int) -> bool:
-        """Whether some document below i and some below j can reach the threshold: by their size ranges, and by the greatest overlap that the bits leave open."""
-        lv = self.level[k]
-        low, high = (i, j) if lv["max"][i] <= lv["max"][j] else (j, i)
-        if lv["max"][low] < self.t * lv["min"][high]:
-            return False
-        common = int(np.bitwise_count(lv["or"][i] & lv["or"][j]).sum())
-        most = min(lv["max"][x] - max(0, lv["pop"][x] - common) for x in (i, j))
-        return most * (1 + self.t) >= self.t * (lv["min"][i] + lv["min"][j])
-
-    def cross(self, k: int, i: int, j: int) -> None:
-        if self.linked and i != j and (c := self.component(k, i)) >= 0 and c == self.component(k, j) or not (i == j or self.possible(k, i, j)):
-            return
-        if k == 0:
-            self.compare(i, j)
-            return
-        end = len(self.level[k - 1]["lo"])
-        a, b = (range(x * FAN, min(end, x * FAN + FAN)) for x in (i, j))
-        if i == j:
-            for x in a:
-                self.cross(k - 1, x, x)
-        for x in a:
-            for y in b:
-                if i != j or x < y:
-                    self.cross(k - 1, x, y)
-
-    def compare(self, i: int, j: int) -> None:
-        lv = self.level[0]
-        a, b = (np.arange(lv["lo"][x], lv["hi"][x]) for x in (i, j))
-        x, y = (v.ravel() for v in np.meshgrid(a, b, indexing="ij"))
-        if i == j:
-            x, y = x[x < y], y[x < y]
-        open_, sure = likely(self.n[x], self.n[y], self.bits[x], self.bits[y], self.t)
-        if not self.linked:
-            x, y = x[open_], y[open_]
-            keep = wide_open(self.n, self.wide, x, y, self.t)
-            self.found.append(np.stack([x[keep], y[keep]], 1))
-            return
-        for p, q, s in zip(x[open_].tolist(), y[open_].tolist(), sure[open_].tolist()):
-            if (r := self.find(p)) == (s_ := self.find(q)):
-                continue
-            if self.wide[p] is not None and self.wide[q] is not None:
-                o, u = likely(self.n[[p]], self.n[[q]], np.frombuffer(self.wide[p], np.uint64)[None], np.frombuffer(self.wide[q], np.uint64)[None], self.t)
-                if not o[0]:
-                    continue
-                s = bool(u[0])
-            self.found.append(np.array([[p, q]]))
-            if s:
-                self.parent[max(r, s_)] = min(r, s_)
+def bit_count(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        top = len(self.build()) - 1
-        self.cross(top, 0, 0)
-        p = np.concatenate(self.found) if self.found else np.zeros((0, 2), np.int64)
-        return self.ids[p[:, 0]], self.ids[p[:, 1]]
 
+def products(i: np.ndarray, j: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of what is below the nodes i and j of each pair; below a pair of one node with itself each pair once."""
+    a, b = end[i] - start[i], end[j] - start[j]
+    total = a * b
+    at = np.repeat(np.arange(len(i)), total)
+    nth = np.arange(int(total.sum())) - np.repeat(np.cumsum(total) - total, total)
+    x, y = start[i][at] + nth // b[at], start[j][at] + nth % b[at]
+    return x, y, (i == j)[at]
 
-def likely(na: np.ndarray, nb: np.ndarray, a: np.ndarray, b: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of pairs of sets: whether the threshold can be reached, and whether it is reached with near certainty.
 
-    A gram of one set whose bit the other lacks is not shared, so the overlap is at most the size less such bits. The
-    size of the union follows from the joint bit count with a standard error that is known for linear counting.
-    """
-    bits = a.shape[1] * 64
-    count = lambda x: np.bitwise_count(x).sum(axis=1, dtype=np.int64)
-    most = np.minimum(na - count(a & ~b), nb - count(b & ~a))
-    open_ = most * (1 + t) >= t * (na + nb)
-    open_ &= np.minimum(na, nb) >= t * np.maximum(na, nb)
-    free = np.maximum(bits - count(a | b), 0.5)
-    union = -bits * np.log(free / bits)
-    load = union / bits
-    high = union + 4 * np.sqrt(bits * np.maximum(np.exp(np.minimum(load, 30)) - load - 1, 0)) + 2
-    sure = (na + nb - high >= t * high) & (free > 20)
-    return open_, sure & open_
-
-
-def wide_open(sizes: np.ndarray, wide: list, p: np.ndarray, q: np.ndarray, t: float) -> np.ndarray:
-    """Of pairs (p, q), those that the wide bitmaps leave open; all pairs of which a set has none."""
-    return np.array([wide[a] is None or wide[b] is None or likely(sizes[[a]].astype(np.int64), sizes[[b]].astype(np.int64), np.frombuffer(wide[a], np.uint64)[None], np.frombuffer(wide[b], np.uint64)[None], t)[0][0] for a, b in zip(p.tolist(), q.tolist())], bool)
-
-
-def tiny_pairs(ids: np.ndarray, sizes: np.ndarray, bits: np.ndarray, wide: list, starts: np.ndarray, counts: np.ndarray, t: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of all blocks of up to TINY documents; every pair that can reach the threshold is given."""
-    out = []
-    for m in range(2, TINY + 1):
-        at = starts[counts == m]
-        i, j = np.triu_indices(m, 1)
-        x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-        for k in range(0, len(x), 20_000):
-            p, q = x[k : k + 20_000], y[k : k + 20_000]
-            ok, _ = likely(sizes[p].astype(np.int64), sizes[q].astype(np.int64), bits[p], bits[q], t)
-            p, q = p[ok], q[ok]
-            keep = wide_open(sizes, wide, p, q, t)
-            p, q = p[keep], q[keep]
-            out.append((ids[p], ids[q]))
-    return out
+@dataclass
+class Forest:
+    """The signature trees of several jobs, one for each side of a job, and their dual traversal.
 
+    Rows come ordered by job, side and size. A job without rows of side 1 is held against itself, others across sides.
+    """
 
-def block_pairs(rows: DataFrame, threshold: float, linked: bool) -> DataFrame:
-    """Candidate pairs (a, b), a < b, of rows (key, set_hash, n, bits, wide) that come sorted by key, n and set_hash."""
+    n: np.ndarray
+    bits: np.ndarray
+    wide: list
+    keys: np.ndarray
+    band: np.ndarray
+    threshold: float
+    #: Node pairs that were looked at and those dropped, pairs of sets that were compared and those dropped.
+    seen: dict[str, int] = field(default_factory=lambda: {"nodes": 0, "nodes dropped": 0, "sets": 0, "sets dropped": 0})
+
+    def build(self, job: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Builds all levels, leaves first; the pairs of roots that are to be traversed."""
+        m = len(self.n)
+        self.pop = bit_count(self.bits)
+        first = np.flatnonzero(np.concatenate([[True], (job[1:] != job[:-1]) | (side[1:] != side[:-1])])) if m else np.zeros(0, np.int64)
+        run_job, run_side = job[first], side[first]
+        sizes = np.diff(np.append(first, m))
+        starts = lambda counts, width: np.concatenate([np.arange(f, f + c, width) for f, c in zip(np.cumsum(counts) - counts, counts)]) if len(counts) else np.zeros(0, np.int64)
+        low, self.levels = {"or": self.bits, "lost": self.n - self.pop, "min": self.n, "max": self.n}, []
+        width = LEAF
+        while True:
+            at = starts(sizes, width)
+            end = np.append(at[1:], len(low["min"]))
+            low = {"start": at, "end": end, "or": np.bitwise_or.reduceat(low["or"], at, axis=0), "lost": np.maximum.reduceat(low["lost"], at), "min": np.minimum.reduceat(low["min"], at), "max": np.maximum.reduceat(low["max"], at)} if m else {}
+            self.levels.append(low)
+            sizes, width = -(-sizes // width), FAN
+            if not m or sizes.max() == 1:
+                break
+        root = np.arange(len(run_job))
+        same = np.flatnonzero(run_job[1:] == run_job[:-1])
+        alone = np.ones(len(root), bool)
+        alone[same] = alone[same + 1] = False
+        return np.concatenate([root[alone & (run_side == 0)], same]), np.concatenate([root[alone & (run_side == 0)], same + 1])
+
+    def possible(self, lv: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether some set below i and some below j can reach the threshold: by their size ranges, and by the greatest overlap that the bits leave open.
+
+        A set of n grams and p bits of which at most c are set on the other side has at least p - c grams that the other
+        lacks, so at most n - p + c in common with it. lost is the greatest n - p below a node.
+        """
+        t = self.threshold
+        ok = (lv["max"][i] >= t * lv["min"][j]) & (lv["max"][j] >= t * lv["min"][i])
+        common = bit_count(lv["or"][i] & lv["or"][j])
+        most = np.minimum(np.minimum(lv["max"][i], lv["lost"][i] + common), np.minimum(lv["max"][j], lv["lost"][j] + common))
+        return ok & (most * (1 + t) >= t * (lv["min"][i] + lv["min"][j]))
+
+    def pairs(self, job: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows x and y of pairs that can reach the threshold."""
+        i, j = self.build(job, side)
+        yield from self.walk(len(self.levels) - 1, i, j)
+
+    def walk(self, level: int, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        lv = self.levels[level]
+        for s in range(0, len(i), STEP):
+            a, b = i[s : s + STEP], j[s : s + STEP]
+            keep = (a == b) | self.possible(lv, a, b)
+            self.seen["nodes"] += len(a)
+            self.seen["nodes dropped"] += int((~keep).sum())
+            a, b = a[keep], b[keep]
+            # below a node at most FAN or LEAF children, so a step grows by their square at most
+            x, y, twice = products(a, b, lv["start"], lv["end"])
+            if level:
+                once = ~twice | (x <= y)
+                yield from self.walk(level - 1, x[once], y[once])
+            else:
+                once = ~twice | (x < y)
+                yield from self.compare(x[once], y[once])
+
+    def compare(self, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of pairs of sets those that their sizes and bits leave open, in the block of the first band they share."""
+        for s in range(0, len(x), STEP):
+            p, q = x[s : s + STEP], y[s : s + STEP]
+            ok = np.minimum(self.n[p], self.n[q]) >= self.threshold * np.maximum(self.n[p], self.n[q])
+            self.seen["sets"] += len(p)
+            p, q = p[ok], q[ok]
+            ok = (self.keys[p] == self.keys[q]).argmax(axis=1) == self.band[p]
+            p, q = p[ok], q[ok]
+            ok = open_(self.n[p], self.n[q], self.bits[p], self.bits[q], self.threshold)
+            p, q = p[ok], q[ok]
+            ok = np.array([self.wide[a] is None or self.wide[b] is None or bool(open_(self.n[[a]], self.n[[b]], np.frombuffer(self.wide[a], np.uint64)[None], np.frombuffer(self.wide[b], np.uint64)[None], self.threshold)[0]) for a, b in zip(p.tolist(), q.tolist())], bool)
+            self.seen["sets dropped"] += len(x[s : s + STEP]) - int(ok.sum())
+            if ok.any():
+                yield p[ok], q[ok]
+
+
+def open_(na: np.ndarray, nb: np.ndarray, a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
+    """Whether pairs of sets can reach the threshold: a gram of one whose bit the other lacks is not shared."""
+    most = np.minimum(na - bit_count(a & ~b), nb - bit_count(b & ~a))
+    return most * (1 + t) >= t * (na + nb)
+
+
+def jobs(sets: DataFrame, threshold: float, part: int = PART) -> DataFrame:
+    """(job, side, band, set_hash) of rows (set_hash, n, keys): the sets that each job compares. See the module's head."""
+    keyed = sets.select("set_hash", "n", F.posexplode("keys").alias("band", "key"))
+    counts = cut(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
+    known = keyed.join(broadcast_if_small(counts, counts.count(), 40), "key")
+    whole = known.where(F.col("c") <= part).select(F.xxhash64("key").alias("job"), F.lit(0).alias("side"), "band", "set_hash")
+    if counts.where(F.col("c") > part).isEmpty():
+        return whole
+    # two sets whose sizes leave the threshold possible are of one size class or of neighbouring ones
+    hot = known.where(F.col("c") > part).withColumn("parts", F.ceil(F.col("c") / part).cast("int")).withColumn("cls", F.floor(F.log("n") / F.lit(float(-np.log(threshold)) * (1 + 1e-9))).cast("int"))
+    hot = hot.withColumn("p", F.pmod(F.xxhash64("set_hash", F.lit(11)), F.col("parts")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    low, high = F.least("p", "q"), F.greatest("p", "q")
+    to = lambda c1, c2, a, b, side: F.struct(F.xxhash64("key", c1, c2, a, b).alias("job"), side.cast("int").alias("side"))
+    each = F.array(
+        to(F.col("cls"), F.col("cls"), low, high, F.col("p") > F.col("q")),
+        to(F.col("cls"), F.col("cls") + 1, F.col("p"), F.col("q"), F.lit(0)),
+        to(F.col("cls") - 1, F.col("cls"), F.col("q"), F.col("p"), F.lit(1)),
+    )
+    cut_ = hot.select("band", "set_hash", (F.col("p") == F.col("q")).alias("own"), F.posexplode(each).alias("k", "x"))
+    # of a job across parts both sides must have rows, or its only side would be held against itself again
+    cut_ = cut_.select("x.job", "x.side", "band", "set_hash", (F.col("own") & (F.col("k") == 0)).alias("own"))
+    both = cut_.groupBy("job").agg(F.bool_or("own").alias("own"), F.min("side").alias("lo"), F.max("side").alias("hi")).where("own or lo <> hi").select("job")
+    return whole.union(cut_.join(both, "job").select("job", "side", "band", "set_hash"))
+
+
+def candidates(sets: DataFrame, threshold: float, part: int = PART) -> DataFrame:
+    """Pairs (a, b) of set hashes, a < b, each once, that signature trees leave open. sets: (set_hash, n, keys, bits, wide), a row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            key = t.column("key").to_numpy()
-            ids, sizes = t.column("set_hash").to_numpy(), t.column("n").to_numpy()
-            bits = string_buffers(t.column("bits"))[1].view(np.uint64).reshape(len(ids), -1)
+            job, side, band, ids, n = (t.column(c).to_numpy() for c in ("job", "side", "band", "set_hash", "n"))
+            fixed = lambda c, dtype: string_buffers(t.column(c))[1].view(dtype).reshape(len(ids), -1)
             wide = t.column("wide").to_pylist() if t.column("wide").null_count < len(ids) else [None] * len(ids)
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            counts = np.diff(np.append(starts, len(key)))
-            yield from packed(tiny_pairs(ids, sizes, bits, wide, starts, counts, threshold))
-            out, held_ = [], 0
-            for s, c in zip(starts[counts > TINY], counts[counts > TINY]):
-                out.append(Block(ids[s : s + c], sizes[s : s + c], bits[s : s + c], wide[s : s + c], threshold, linked).pairs())
-                held_ += len(out[-1][0])
-                if held_ > 500_000:
-                    yield from packed(out)
-                    out, held_ = [], 0
-            yield from packed(out)
-
-        def packed(out: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            a, b = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
-            a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
-            if len(a):
-                both = np.unique(np.stack([a, b], 1), axis=0)
-                for k in range(0, len(both), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(both[k : k + 100_000, 0]), pa.array(both[k : k + 100_000, 1])], names=["a", "b"])
+            forest = Forest(n.astype(np.int64), fixed("bits", np.uint64), wide, t.column("short").combine_chunks().flatten().to_numpy().reshape(len(ids), -1), band, threshold)
+            for x, y in forest.pairs(job, side):
+                a, b = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+                yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
 
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            key = batch.column("key").to_numpy()
-            cut_ = int(np.searchsorted(key, key[-1]))  # the last block may go on in the next batch
+            job = batch.column("job").to_numpy()
+            cut_ = int(np.searchsorted(job, job[-1]))  # the last job may go on in the next batch
             if cut_:
                 yield from done(pa.Table.from_batches([*held, batch.slice(0, cut_)]))
                 held = []
@@ -270,13 +256,33 @@ def block_pairs(rows: DataFrame, threshold: float, linked: bool) -> DataFrame:
         if held:
             yield from done(pa.Table.from_batches(held))
 
+    narrow = jobs(sets.select("set_hash", "n", "keys"), threshold, part)
+    short = F.transform("keys", lambda k: F.pmod(k, F.lit(1 << 31)).cast("int"))  # enough to tell which bands two sets share
+    rows = narrow.join(sets.select("set_hash", "n", "bits", "wide", short.alias("short")), "set_hash")
+    rows = rows.select("job", "side", "band", "set_hash", "n", "bits", "wide", "short").repartition("job").sortWithinPartitions("job", "side", "n", "set_hash")
     return rows.mapInArrow(run, "a long, b long")
 
 
-def verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of the pairs of set hashes whose exact sets reach the threshold. firsts has a document (set_hash, doc_id) of each set. The set of a is sent once for all its pairs."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("set_hash")).distinct().join(firsts, "set_hash").select("doc_id").distinct())
-    texts = docs.join(broadcast_if_small(ids, ids.count(), 40), "doc_id", "left_semi").select("text")
+def tiles(pairs: DataFrame, sizes: DataFrame, tile: int) -> DataFrame:
+    """(set_hash, tile) of the sets of pairs. A set goes with the least of its neighbours and itself, and what goes with one set is cut by a hash into tiles of about the given weight."""
+    ends = pairs.select(F.col("a").alias("set_hash"), F.col("a").alias("o")).union(pairs.select(F.col("b"), F.col("a")))
+    hubs = cut(ends.groupBy("set_hash").agg(F.min("o").alias("hub")).join(sizes, "set_hash"))
+    cuts = hubs.groupBy("hub").agg(F.ceil(F.sum(F.col("n").cast("long") + SET_WEIGHT) / tile).alias("cuts"))
+    large = cuts.where("cuts > 1")
+    part = F.pmod(F.xxhash64("set_hash", F.lit(17)), F.coalesce("cuts", F.lit(1)))
+    return cut(hubs.join(broadcast_if_small(large, large.count(), 32), "hub", "left").select("set_hash", F.xxhash64("hub", part).alias("tile")))
+
+
+def verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, sizes: DataFrame, n: int, threshold: float, tile: int = TILE) -> DataFrame:
+    """(a, b, jaccard) of the pairs of set hashes whose exact sets reach the threshold. firsts: a document (set_hash, doc_id) of each set; sizes: (set_hash, n)."""
+    at = tiles(pairs, sizes, tile)
+    small = at.count()
+    end = lambda c: broadcast_if_small(at.select(F.col("set_hash").alias(c), F.col("tile").alias("t" + c)), small, 40)
+    work = cut(pairs.join(end("a"), "a").join(end("b"), "b").select(F.xxhash64(F.least("ta", "tb"), F.greatest("ta", "tb")).alias("job"), "a", "b"))
+    needed = cut(work.select("job", F.explode(F.array("a", "b")).alias("set_hash")).distinct())
+    sent = needed.count()
+    ids = cut(at.select("set_hash").join(firsts, "set_hash").select("doc_id").distinct())
+    texts = docs.join(broadcast_if_small(ids, ids.count(), 40), "doc_id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -286,100 +292,94 @@ def verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, n: int, thres
                 yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(g, pa.binary())], names=["set_hash", "grams"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, own = None, []
+        job, held = None, {}
         for batch in batches:
             out = []
-            for a, b, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                grams = np.frombuffer(g.as_buffer(), np.uint64)
+            for j, a, b, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                if j != job:
+                    job, held = j, {}
                 if b is None:
-                    hub, own = (a, [*own, grams.copy()] if hub == a else [grams.copy()])
+                    held[a] = np.frombuffer(g.as_buffer(), np.uint64).copy()
                     continue
-                for x in own if hub == a else ():
-                    both = int((x[np.minimum(np.searchsorted(x, grams), len(x) - 1)] == grams).sum())
-                    out.append((a, b, both / (len(x) + len(grams) - both)))
+                x, y = held[a], held[b]
+                if len(x) > len(y):
+                    x, y = y, x
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                out.append((a, b, both / (len(x) + len(y) - both)))
+            out = [o for o in out if o[2] >= threshold]
             if out:
-                a, b, j = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(j, pa.float64())], names=["a", "b", "jaccard"])
+                a, b, j_ = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(j_, pa.float64())], names=["a", "b", "jaccard"])
 
-    grams = texts.mapInArrow(sets, "set_hash long, grams binary").dropDuplicates(["set_hash", "grams"])
-    hubs = grams.join(pairs.select(F.col("a").alias("set_hash")).distinct(), "set_hash", "left_semi").select(F.col("set_hash").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
-    members = pairs.withColumnRenamed("b", "set_hash").join(grams, "set_hash").select("a", F.col("set_hash").alias("b"), "grams")
-    both = hubs.union(members).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
-    found = both.mapInArrow(compare, "a long, b long, jaccard double")
-    return found.where(F.col("jaccard") >= threshold).groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
+    grams = texts.select("text").mapInArrow(sets, "set_hash long, grams binary")
+    if texts.select("doc_id").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        grams = grams.groupBy("set_hash").agg(F.first("grams").alias("grams"))  # rows that repeat an id send its set once
+    held = grams.join(broadcast_if_small(needed, sent, 40), "set_hash").select("job", F.col("set_hash").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
+    both = held.union(work.select("job", "a", "b", F.lit(None).cast("binary"))).repartition("job").sortWithinPartitions("job", F.col("b").asc_nulls_first())
+    return both.mapInArrow(compare, "a long, b long, jaccard double")
 
 
-def set_pairs(docs: DataFrame, n: int, threshold: float, bands: int, rows: int, linked: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sets and their pairs: the least document (set_hash, doc_id) of each set; the others of its class (set_hash, first, doc_id); verified (a, b, jaccard) of sets.
+def class_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, part: int = PART, tile: int = TILE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes of documents with the same set, and the pairs of classes.
 
-    With ``linked``, pairs of sets that other pairs of a block link already are left out, which changes no group.
+    (set_hash, first, n_docs) of each class, first being its least document; (set_hash, doc_id) of the members of classes
+    of several documents; (a, b, jaccard) of every two set hashes whose sets reach the threshold.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     sketch = cut(sketches(docs, n, bands, rows))
-    least = sketch.groupBy("set_hash").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    copies = cut(sketch.select("set_hash", "doc_id").join(least, "set_hash").where("first <> doc_id").select("set_hash", "first", "doc_id").distinct())
-    gone = copies.select("doc_id", "set_hash")
-    rest = sketch.join(broadcast_if_small(gone, gone.count(), 40), ["doc_id", "set_hash"], "left_anti")
-    firsts = cut(rest.select("set_hash", "doc_id").distinct())
-    keyed = rest.select(F.explode("keys").alias("key"), "set_hash").distinct()
-    shared = keyed.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1").drop("c")
-    rows_ = shared.join(rest.select("set_hash", "n", "bits", "wide").dropDuplicates(["set_hash"]), "set_hash").select("key", "set_hash", "n", "bits", "wide")
-    pairs = cut(block_pairs(rows_.repartition("key").sortWithinPartitions("key", "n", "set_hash"), threshold, linked).distinct())
-    return firsts, copies, cut(verified(docs, firsts, pairs, n, threshold))
-
-
-def groups(firsts: DataFrame, copies: DataFrame, pairs: DataFrame) -> DataFrame:
+    members = sketch.select("set_hash", "doc_id").distinct()
+    classes = cut(members.groupBy("set_hash").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_docs")))
+    several = classes.where("n_docs > 1").select("set_hash", "first")
+    copies = cut(members.join(broadcast_if_small(several, several.count(), 40), "set_hash").select("set_hash", "first", "doc_id"))
+    gone = copies.where("first <> doc_id").select("set_hash", "doc_id")
+    rest = sketch.join(broadcast_if_small(gone, gone.count(), 40), ["set_hash", "doc_id"], "left_anti")
+    if sketch.count() > (classes.agg(F.sum("n_docs")).first()[0] or 0):
+        rest = rest.dropDuplicates(["set_hash"])  # rows that repeat an id
+    pairs = cut(candidates(rest, threshold, part))
+    firsts = classes.select("set_hash", F.col("first").alias("doc_id"))
+    return classes, copies, cut(verified(docs, firsts, pairs, rest.select("set_hash", "n"), n, threshold, tile))
+
+
+def groups(classes: DataFrame, copies: DataFrame, pairs: DataFrame) -> DataFrame:
     """(doc_id, group_id) of the documents that have a near duplicate."""
-    end = lambda c: firsts.select(F.col("set_hash").alias(c), F.col("doc_id").alias("u" if c == "a" else "v"))
-    edges = pairs.join(end("a"), "a").join(end("b"), "b").select("u", "v").union(copies.select(F.col("first").alias("u"), F.col("doc_id").alias("v")))
+    end = lambda c, to: classes.select(F.col("set_hash").alias(c), F.col("first").alias(to))
+    edges = pairs.join(end("a", "u"), "a").join(end("b", "v"), "b").select("u", "v").union(copies.where("first <> doc_id").select(F.col("first").alias("u"), F.col("doc_id").alias("v")))
     return connected_components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"))
 
 
-def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, group_id, match_id, jaccard, group_size, set_hash, partners) of every document that has a near duplicate.
+def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, part: int = PART, tile: int = TILE) -> DataFrame:
+    """(doc_id, group_id, group_size, class_id, links, match_id, jaccard) of every document that has a near duplicate.
 
     Two documents are near duplicates if the Jaccard coefficient of their sets of word n-grams is at least
-    ``threshold``; groups are closed under that relation, and group_id is a group's least doc_id. match_id is the
-    nearest of all partners found (of equal ones the least id).
-
-    All verified pairs are there, in compact form: documents of the same set have the same set_hash, and partners, on the
-    row of a set's least document and null on the others, lists (set_hash, jaccard) of every other set that reaches the
-    threshold. pairs() expands them.
+    ``threshold``; groups are closed under that relation, and group_id is a group's least doc_id. class_id is the least
+    document of the same set, links the number of other documents that reach the threshold with this set, all of them
+    counted, and match_id the nearest (of equal ones the least id). class_pairs() gives the linked pairs of classes.
 
     Documents whose doc_id or text is null, or whose text has no word, match nothing and are not in the result. A text
     of fewer than n words has one gram. Rows with the same doc_id are one document, similar where any of its texts is;
-    it has a row for each of its sets that matches another document. Only doc_id and text are read, so other columns,
-    whatever their names, change nothing. No rows give no rows.
+    it has a row for each of its sets that matches another document. doc_id must be a number, or text that spells one.
+    Only doc_id and text are read, so other columns, whatever their names, change nothing. No rows give no rows.
     """
-    firsts, copies, verified_ = set_pairs(docs, n, threshold, bands, rows, linked=False)
-    group = cut(groups(firsts, copies, verified_))
+    classes, copies, linked = class_pairs(docs, n, threshold, bands, rows, part, tile)
+    group = cut(groups(classes, copies, linked))
     sizes = group.groupBy("group_id").agg(F.count("*").alias("group_size"))
-    seconds = copies.groupBy("set_hash").agg(F.min("doc_id").alias("second"))
-    known = verified_.select(F.explode(F.array("a", "b")).alias("set_hash")).union(copies.select("set_hash")).distinct()
-    sets = cut(firsts.withColumnRenamed("doc_id", "first").join(known, "set_hash").join(seconds, "set_hash", "left"))
-    ends = verified_.select(F.col("a").alias("set_hash"), F.col("b").alias("o"), "jaccard").union(verified_.select(F.col("b").alias("set_hash"), F.col("a").alias("o"), "jaccard"))
-    ends = ends.join(sets.select("set_hash", "first"), "set_hash").join(sets.select(F.col("set_hash").alias("o"), F.col("first").alias("o1"), F.col("second").alias("o2")), "o")
+    seconds = copies.where("first <> doc_id").groupBy("set_hash").agg(F.min("doc_id").alias("second"))
+    known = linked.select(F.explode(F.array("a", "b")).alias("set_hash")).union(copies.select("set_hash")).distinct()
+    sets = cut(classes.join(known, "set_hash").join(seconds, "set_hash", "left"))
+    ends = linked.select(F.col("a").alias("set_hash"), F.col("b").alias("o"), "jaccard").union(linked.select(F.col("b").alias("set_hash"), F.col("a").alias("o"), "jaccard"))
+    few = sets.count()
+    side = lambda *c: broadcast_if_small(sets.select(*c), few, 64)
+    ends = ends.join(side("set_hash", "first"), "set_hash").join(side(F.col("set_hash").alias("o"), F.col("first").alias("o1"), F.col("second").alias("o2"), F.col("n_docs").alias("on")), "o")
     other = F.when(F.col("o1") != F.col("first"), F.col("o1")).otherwise(F.col("o2"))  # of a set of one document
-    best = F.max(F.when(other.isNotNull(), F.struct("jaccard", (-other).alias("m")))).alias("best")
-    lists = ends.groupBy("set_hash").agg(best, F.sort_array(F.collect_list(F.struct(F.col("o").alias("set_hash"), F.round("jaccard", 6).alias("jaccard")))).alias("partners"))
-    sets = sets.join(lists, "set_hash", "left")
-    match = lambda df, m, j, p: df.select("doc_id", "set_hash", m.alias("match_id"), j.alias("jaccard"), p.alias("partners"))
-    mine = match(sets.withColumn("doc_id", F.col("first")), F.coalesce("second", -F.col("best.m")), F.when(F.col("second").isNotNull(), 1.0).otherwise(F.round("best.jaccard", 6)), F.col("partners"))
-    theirs = match(copies, F.col("first"), F.lit(1.0), F.lit(None).cast(mine.schema["partners"].dataType))
+    best: Column = F.max(F.when(other.isNotNull(), F.struct("jaccard", (-other).alias("m")))).alias("best")
+    lists = ends.groupBy("set_hash").agg(best, F.sum("on").alias("others"))
+    sets = sets.join(lists, "set_hash", "left").withColumn("links", F.coalesce("others", F.lit(0)) + F.col("n_docs") - 1)
+    match = lambda df, m, j: df.select("doc_id", F.col("first").alias("class_id"), "links", m.alias("match_id"), j.alias("jaccard"))
+    mine = match(sets.withColumn("doc_id", F.col("first")), F.coalesce("second", -F.col("best.m")), F.when(F.col("second").isNotNull(), 1.0).otherwise(F.round("best.jaccard", 6)))
+    theirs = match(copies.where("first <> doc_id").select("set_hash", "doc_id").join(sets, "set_hash"), F.col("first"), F.lit(1.0))
     out = mine.where("match_id is not null").union(theirs)
-    return out.join(group, "doc_id").join(sizes, "group_id").select("doc_id", "group_id", "match_id", "jaccard", "group_size", "set_hash", "partners")
-
-
-def pairs(near: DataFrame) -> DataFrame:
-    """(a, b, jaccard), a < b, of every pair in the result of near_duplicates(). That of a large class is quadratic."""
-    member = near.select("set_hash", "doc_id")
-    end = lambda c, k: member.select(F.col("set_hash").alias(k), F.col("doc_id").alias(c))
-    listed = near.select(F.col("set_hash").alias("p"), F.explode("partners").alias("x")).select("p", F.col("x.set_hash").alias("q"), "x.jaccard").where("p < q")
-    across = listed.join(end("a", "p"), "p").join(end("b", "q"), "q").select("a", "b", "jaccard")
-    same = end("a", "p").join(end("b", "p"), "p").select("a", "b", F.lit(1.0).alias("jaccard"))
-    both = across.union(same).where("a <> b")
-    return both.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("jaccard").alias("jaccard"))
+    return out.join(group, "doc_id").join(sizes, "group_id").select("doc_id", "group_id", "group_size", "class_id", "links", "match_id", "jaccard")
 
 
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
@@ -388,5 +388,5 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataF
     Of rows with the same doc_id all stay or all go, so repeated rows of a kept document stay. Rows with a null doc_id or
     text, or with no word, stay. All columns are kept.
     """
-    gone = cut(groups(*set_pairs(docs, n, threshold, BANDS, ROWS, linked=True)).where("doc_id <> group_id").select(F.col("doc_id").alias("_gone")))
+    gone = cut(groups(*class_pairs(docs, n, threshold)).where("doc_id <> group_id").select(F.col("doc_id").alias("_gone")))
     return docs.join(broadcast_if_small(gone, gone.count(), 40), docs["doc_id"] == gone["_gone"], "left_anti")

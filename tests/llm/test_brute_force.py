@@ -71,7 +71,7 @@ def test_jaccard_join_against_all_pairs(spark, corpus):
     rows = ngram_jaccard.near_duplicates(spark.createDataFrame(corpus, SCHEMA)).collect()
     group = {r.doc_id: r.group_id for r in rows}
     together = [p for p in truth if group.get(p[0], -1) == group.get(p[1], -2)]
-    assert len(truth) > 300 and len(together) / len(truth) >= 0.95
+    assert len(truth) > 300 and len(together) / len(truth) >= 0.998
     near = defaultdict(set)
     for a, b in truth:
         near[a].add(b)
@@ -86,36 +86,6 @@ def test_jaccard_join_against_all_pairs(spark, corpus):
     assert all(r.group_size == sizes[r.group_id] and r.group_id <= r.doc_id for r in rows)
 
 
-def test_signature_tree_gives_what_all_pairs_give():
-    rng = np.random.default_rng(1)
-    sets = []
-    for f in range(60):
-        base = rng.integers(0, 1 << 62, int(rng.integers(10, 400)), np.uint64)
-        for _ in range(int(rng.integers(1, 8))):
-            s = base.copy()
-            at = rng.integers(0, len(s), int(len(s) * rng.uniform(0, 0.4)))
-            s[at] = rng.integers(0, 1 << 62, len(at), np.uint64)
-            sets.append(np.unique(tokens.mix(s)))
-    sets.sort(key=len)
-    ids = np.arange(len(sets))
-    block = ngram_jaccard.Block(ids, np.array([len(s) for s in sets]), np.stack([ngram_jaccard.bitmap(s, ngram_jaccard.BITS) for s in sets]), [None] * len(sets), 0.5)
-    a, b = block.pairs()
-    parent = list(range(len(sets)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    jaccard = lambda i, j: len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j]))
-    for i, j in zip(a.tolist(), b.tolist()):
-        if jaccard(i, j) >= 0.5:
-            parent[find(i)] = find(j)
-    for i, j in combinations(range(len(sets)), 2):
-        if jaccard(i, j) >= 0.5:
-            assert find(i) == find(j)
-
-
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.binary(max_size=9000), min_size=1, max_size=4), st.integers(1, 5000))
 def test_fingerprints_compose(parts, at):
