@@ -57,8 +57,12 @@ def script_confidence(kind: Column, unresolved: Column, depth_limited: Column, p
     return F.greatest(F.lit(45), F.least(F.lit(98), c))
 
 
+#: Edges that a path of scripts has at most.
+MAX_DEPTH = 20
+
+
 def depth_budget(nodes: Column) -> Column:
-    return F.least(F.lit(20), F.greatest(F.lit(10), F.ceil(F.log2(F.greatest(nodes, F.lit(1)).cast("double"))).cast("int") + 8)).cast("int")
+    return F.least(F.lit(MAX_DEPTH), F.greatest(F.lit(10), F.ceil(F.log2(F.greatest(nodes, F.lit(1)).cast("double"))).cast("int") + 8)).cast("int")
 
 
 def snippet(code: Column, width: int = 60) -> Column:

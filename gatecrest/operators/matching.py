@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,20 +10,36 @@ from pyspark.sql import functions as F
 BRANCHES = 40
 
 
-def first_match(text: Column, patterns: Sequence[str]) -> Column:
-    """Ordinal of the first pattern that matches; null if none does."""
-    parts = []
-    for k in range(0, len(patterns), BRANCHES):
-        case = F.when(text.rlike(patterns[k]), F.lit(k))
-        for i, p in enumerate(patterns[k + 1 : k + BRANCHES], k + 1):
-            case = case.when(text.rlike(p), F.lit(i))
-        parts.append(case)
-    return F.coalesce(*parts) if len(parts) > 1 else parts[0]
+def literal(text: str) -> str:
+    """A string in SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def first_match(text: str, patterns: Sequence[str], needs: Sequence[Sequence[str]] | None = None) -> Column:
+    """Ordinal of the first pattern that matches the column of that name; null if none does.
+
+    needs: for each pattern literals of which a text must hold one for the pattern to match; they are looked for first,
+    which is cheaper than the pattern. An empty list asks for none.
+    """
+    tests = [f"`{text}` RLIKE {literal(p)}" for p in patterns]
+    for k, words in enumerate(needs or ()):
+        if words:
+            tests[k] = "(" + " OR ".join(f"contains(`{text}`, {literal(w)})" for w in words) + ") AND " + tests[k]
+    cases = ["CASE " + " ".join(f"WHEN {t} THEN {k + i}" for i, t in enumerate(tests[k : k + BRANCHES])) + " END" for k in range(0, len(tests), BRANCHES)]
+    return F.expr(cases[0] if len(cases) == 1 else f"coalesce({', '.join(cases)})")
+
+
+def matched(df: DataFrame, text: str, patterns: Sequence[str], name: str, needs: Sequence[Sequence[str]] | None = None) -> DataFrame:
+    """The rows that a pattern matches, with its ordinal under name. The patterns are tried once a row, whatever is made of the ordinal: a generator, unlike a projection, is neither repeated nor pushed into filters."""
+    return df.select("*", F.explode(F.filter(F.array(first_match(text, patterns, needs)), lambda k: k.isNotNull())).alias(name))
 
 
 def lookup(ordinal: Column, values: Sequence) -> Column:
-    """The value of that ordinal; null for null."""
-    return F.get(F.array(*(F.lit(v) for v in values)), ordinal)
+    """The value of that ordinal; null for null. Values are of one type: strings, whole numbers or truth values, or null."""
+    kind = next((type(v) for v in values if v is not None), str)
+    plain = {str: lambda v: literal(v), bool: lambda v: str(v).lower(), int: str}[kind]
+    items = ", ".join("NULL" if v is None else plain(v) for v in values)
+    return F.get(F.expr(f"array({items})"), ordinal)
 
 
 def first_by(df: DataFrame, keys: Sequence[str], *order: Column | str) -> DataFrame:

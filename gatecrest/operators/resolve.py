@@ -80,36 +80,65 @@ def resolve(refs: DataFrame, names: DataFrame, rounds: int = MAX_ROUNDS) -> Data
     """(rid, node, identity, crossed) of each thing that a reference (rid, project, file, fn, cls, chain) comes to.
 
     node is a definition in the project. Otherwise identity is the chain that can't be followed further, absolute (``@``)
-    if it leads out of the project. A reference may come to several things, as a list does to its elements. Chains that
-    lead back to themselves are dropped. crossed is whether another file was entered on the way.
+    if it leads out of the project. A reference may come to several things, as a list does to its elements. crossed is
+    whether another file was entered on the way.
+
+    References that stand in one scope and spell the same chain are followed once. A binding is used once on a way, so
+    that ``x = x.next()`` and chains that lead back to themselves end there, and a place (scope and chain) that a
+    reference has come to before is not visited again. What is still open after ``rounds`` rounds is given as it then
+    reads. A round is one checkpoint.
     """
     none = F.lit(None).cast("string")
+    scope = ["project", "file", "fn", "cls", "chain"]
+    refs = refs.where("chain is not null and chain <> ''").select("rid", *scope)
     # ids are given as rows are checkpointed, so that they stay the same when a lost part is computed again
-    active = cut(refs.where("chain is not null and chain <> ''").select("rid", "project", "file", "fn", "cls", "chain", F.array(F.lit("")).alias("seen"), F.lit(False).alias("crossed")).withColumn("sid", F.monotonically_increasing_id()))
-    if active.isEmpty():
-        return active.select("rid", none.alias("node"), none.alias("identity"), "crossed")
-    done = None
-    for _ in range(rounds):
-        state = active
-        tried = state.where(~F.col("chain").startswith("#")).select("*", F.explode(prefixes(F.col("chain"))).alias("name")).withColumn("key", F.when(F.col("chain").startswith("@"), "").otherwise(F.col("file")))
-        n = names.select("project", F.col("file").alias("key"), F.col("fn").alias("nfn"), F.col("cls").alias("ncls"), "name", "prio", "ord", "to_file", "to_fn", "to_cls", "to_chain", "node", "root")
-        hit = tried.join(n, ["project", "key", "name"])
-        rest = F.expr("substring(chain, length(name) + 1)")
-        scoped = (F.col("nfn").isNull() | F.col("nfn").eqNullSafe(F.col("fn"))) & (F.col("ncls").isNull() | F.col("ncls").eqNullSafe(F.col("cls")))
-        hit = hit.withColumn("rest", rest).where(scoped & (F.col("node").isNull() | F.col("rest").isin("", "[]")))
-        near = F.when(F.col("root") == folder(F.col("file")), 2).when(F.col("root") == "", 1).otherwise(0)
-        order = [F.length("name").desc(), F.col("nfn").isNotNull().desc(), F.col("ncls").isNotNull().desc(), F.col("prio").desc(), near.desc(), F.length("root").asc_nulls_first(), F.col("ord").desc()]
-        best = hit.withColumn("_r", F.rank().over(Window.partitionBy("sid").orderBy(*order))).where("_r = 1")
-        new = F.when(F.col("to_chain") == "", F.regexp_replace("rest", "^[.]", "")).otherwise(F.concat("to_chain", "rest"))
-        place = F.concat_ws("|", F.coalesce("to_file", F.lit("")), F.coalesce("to_fn", F.lit("")), F.coalesce("to_cls", F.lit("")))
-        best = cut(best.withColumn("new", new).withColumn("place", place))
-        ended = state.join(best.select("sid").distinct(), "sid", "left_anti").select("rid", none.alias("node"), F.col("chain").alias("identity"), "crossed")
-        found = best.where("node is not null").select("rid", "node", none.alias("identity"), "crossed")
-        step = ended.unionByName(found).unionByName(best.where("node is null and new = ''").select("rid", none.alias("node"), F.concat(F.lit("module:"), "to_file").alias("identity"), "crossed"))
-        done = step if done is None else done.unionByName(step)
-        mark = F.concat_ws("|", "place", "new")
-        follow = best.where(F.col("node").isNull() & (F.col("new") != "") & ~F.array_contains("seen", mark))
-        active = cut(follow.select("rid", "project", F.col("to_file").alias("file"), F.col("to_fn").alias("fn"), F.col("to_cls").alias("cls"), F.col("new").alias("chain"), F.concat("seen", F.array(mark)).alias("seen"), (F.col("crossed") | (F.col("to_file") != F.col("file"))).alias("crossed")).distinct().withColumn("sid", F.monotonically_increasing_id()))
-        if active.isEmpty():
+    starts = cut(refs.select(*scope).distinct().withColumn("pid", F.monotonically_increasing_id()))
+    told = lambda cs: F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in cs))  # noqa: E731  (nulls alone don't change a hash)
+    bound = names.withColumn("bid", told(names.columns))
+    bound = bound.select("project", F.col("file").alias("key"), F.col("fn").alias("nfn"), F.col("cls").alias("ncls"), "name", "prio", "ord", "to_file", "to_fn", "to_cls", "to_chain", F.col("node").alias("to_node"), "root", "bid")
+    place = ["file", "fn", "cls", "chain"]
+    mark = told(["pid", *place]).alias("mark")
+    active = starts.select("pid", *scope, F.array().cast("array<bigint>").alias("used"), F.lit(False).alias("crossed"))
+    visited: DataFrame | None = None
+    done: DataFrame | None = None
+    for turn in range(rounds + 1):
+        step = cut(_step(active, bound, followed=turn < rounds))
+        if step.isEmpty():
             break
-    return cut(done.distinct())
+        ended = step.where("kind <> 'follow'").select("pid", "node", "identity", "crossed")
+        done = ended if done is None else done.unionByName(ended)
+        here = step.select(mark).distinct()
+        visited = here if visited is None else visited.unionByName(here)
+        follow = step.where("kind = 'follow'").select("pid", "project", F.col("to_file").alias("file"), F.col("to_fn").alias("fn"), F.col("to_cls").alias("cls"), F.col("new").alias("chain"), F.concat("used", F.array("bid")).alias("used"), (F.col("crossed") | (F.col("to_file") != F.col("file"))).alias("crossed"))
+        follow = follow.groupBy("pid", "project", *place).agg(F.min("used").alias("used"), F.bool_or("crossed").alias("crossed"))
+        active = follow.withColumn("mark", mark).join(visited, "mark", "left_anti").drop("mark")
+    if done is None:
+        return refs.where("false").select("rid", none.alias("node"), none.alias("identity"), F.lit(False).alias("crossed"))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in scope]
+    found = starts.join(done.distinct(), "pid").select(*scope, "node", "identity", "crossed")
+    return cut(refs.alias("r").join(found.alias("s"), same).select("r.rid", "s.node", "s.identity", "s.crossed").distinct())
+
+
+def _step(active: DataFrame, bound: DataFrame, followed: bool) -> DataFrame:
+    """One row for each binding by which a place is left, with kind 'follow', or what a place ends at: 'node', 'module', or 'open' where no binding leads on."""
+    none = F.lit(None).cast("string")
+    state = ["pid", "project", "file", "fn", "cls", "chain", "used", "crossed"]
+    absolute = F.col("chain").startswith("@")
+    names = F.when(F.col("chain").startswith("#") | F.lit(not followed), F.array(F.lit(""))).otherwise(prefixes(F.col("chain")))
+    tried = active.select(*state, F.explode(names).alias("name")).withColumn("key", F.when(absolute, "").otherwise(F.col("file")))
+    hit = tried.join(bound, ["project", "key", "name"], "left").withColumn("rest", F.expr("substring(chain, length(name) + 1)"))
+    scoped = (F.col("nfn").isNull() | F.col("nfn").eqNullSafe(F.col("fn"))) & (F.col("ncls").isNull() | F.col("ncls").eqNullSafe(F.col("cls")))
+    whole = F.col("to_node").isNull() | F.col("rest").isin("", "[]")
+    ok = F.coalesce(F.col("bid").isNotNull() & scoped & whole & ~F.array_contains("used", F.col("bid")), F.lit(False))
+    hit = hit.withColumn("ok", ok)
+    near = F.when(F.col("root") == folder(F.col("file")), 2).when(F.col("root") == "", 1).otherwise(0)
+    order = [F.length("name").desc(), F.col("nfn").isNotNull().desc(), F.col("ncls").isNotNull().desc(), F.col("prio").desc(), near.desc(), F.length("root").asc_nulls_first(), F.col("ord").desc()]
+    best = hit.withColumn("_r", F.rank().over(Window.partitionBy("pid", "file", "fn", "cls", "chain").orderBy(F.col("ok").desc(), *order))).where("_r = 1")
+    new = F.when(F.col("to_chain") == "", F.regexp_replace("rest", "^[.]", "")).otherwise(F.concat("to_chain", "rest"))
+    new = F.when(F.col("ok") & F.col("to_node").isNull(), new)
+    kind = F.when(~F.col("ok"), "open").when(F.col("to_node").isNotNull(), "node").when(new == "", "module").otherwise("follow")
+    out = best.withColumn("new", new).withColumn("kind", kind)
+    identity = F.when(F.col("kind") == "open", F.col("chain")).when(F.col("kind") == "module", F.concat(F.lit("module:"), "to_file"))
+    follow = F.col("kind") == "follow"
+    kept = {"to_file": follow, "to_fn": follow, "to_cls": follow, "bid": follow}
+    return out.select(*state, "kind", F.when(F.col("kind") == "node", F.col("to_node")).otherwise(none).alias("node"), identity.alias("identity"), F.when(follow, F.col("new")).alias("new"), *(F.when(c, F.col(n)).alias(n) for n, c in kept.items())).distinct()

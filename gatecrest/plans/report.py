@@ -26,8 +26,26 @@ def at_level(findings: DataFrame, level: str) -> DataFrame:
     return findings.where(scores.rank(F.col("severity")) <= RANK[level])
 
 
-def severity_counts(df: DataFrame) -> DataFrame:
-    return df.agg(F.count("*").alias("total"), *(F.count_if(F.col("severity") == s).alias(s) for s in RANK))
+def severity_counts(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by severity and in total; one row for each of keys, or one in all."""
+    return df.groupBy(*keys).agg(F.count("*").alias("total"), *(F.count_if(F.col("severity") == s).alias(s) for s in RANK))
+
+
+def verdicts(findings: DataFrame, status: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, files, failed, skipped, total, severities, exit_code, conclusion), from the findings and the files' status (error, skipped): a row for each of keys, or one in all."""
+    failed = F.col("error").isNotNull() & ~F.col("skipped")
+    files = status.groupBy(*keys).agg(F.count("*").alias("files"), F.count_if(failed).alias("failed"), F.count_if("skipped").alias("skipped"))
+    counts = severity_counts(findings, *keys)
+    both = files.join(counts, list(keys), "left") if keys else files.crossJoin(counts)  # a row each
+    n = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("total", *RANK)}
+    code = scores.exit_code(F.col("failed"), n["critical"], n["warning"])
+    conclusion = scores.check_conclusion(F.col("files") - F.col("skipped"), F.col("failed"), F.col("skipped"), n["critical"], n["warning"], n["info"])
+    return both.select(*keys, "files", "failed", "skipped", *(v.alias(c) for c, v in n.items()), code.alias("exit_code"), conclusion.alias("conclusion"))
+
+
+def coverage(status: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, partial, languages): whether files failed or were skipped, and the languages of those analysed."""
+    return status.groupBy(*keys).agg(F.coalesce(F.bool_or(F.col("error").isNotNull() | F.col("skipped")), F.lit(False)).alias("partial"), F.sort_array(F.collect_set(F.when(F.col("error").isNull(), F.col("language")))).alias("languages"))
 
 
 def sorted_findings(findings: DataFrame) -> DataFrame:
@@ -52,6 +70,11 @@ def gate_coverage(events: DataFrame) -> DataFrame:
     return events.agg(present.alias("present"), F.count_if(F.col("gate_status") == "absent").alias("absent"), scores.percent(present, F.count("*")).alias("rate"), F.countDistinct(F.when(F.col("gate_status") == "absent", F.col("operation"))).alias("ungated_operations"))
 
 
+def frameworks(events: DataFrame, findings: DataFrame) -> DataFrame:
+    """Each framework that an event or a finding names, once."""
+    return findings.select("framework").union(events.select("framework")).where("framework is not null and framework <> ''").distinct()
+
+
 def by_framework(events: DataFrame, k: int = 8) -> DataFrame:
     name = F.coalesce(F.nullif(F.col("framework"), F.lit("")), F.lit("generic")).alias("framework")
     return events.groupBy(name).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "framework").limit(k)
@@ -75,20 +98,37 @@ def signatures(events: DataFrame) -> DataFrame:
     return s.withColumn("severity", scores.severity_name(F.col("rank"))).drop("rank")
 
 
+def roots_by_framework(roots: DataFrame) -> DataFrame:
+    return roots.groupBy("framework").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "framework")
+
+
 def diagnostics(a: Analysis) -> DataFrame:
-    """One row: nodes, roots, operations, edges, edges across files, distinct tools."""
-    n = a.nodes.agg(F.count("*").alias("nodes"))
-    r = a.roots.agg(F.count("*").alias("roots"), F.countDistinct("gid").alias("tools"))
-    o = a.operations.agg(F.count("*").alias("operations"))
-    at = a.nodes.select(F.col("gid"), "file")
-    both = a.edges.join(at.toDF("src", "from_file"), "src").join(at.toDF("dst", "to_file"), "dst")
-    e = both.agg(F.count("*").alias("edges"), F.count_if(F.col("from_file") != F.col("to_file")).alias("cross_file_edges"))
-    return n.crossJoin(r).crossJoin(o).crossJoin(e)
+    """One row for each project and language that has functions: functions, roots, operations, resolved edges and those across files, calls that lead nowhere, budget of depth, events at that depth, events past such calls."""
+    place = lambda df: df.withColumn("language", F.when(scores.language(F.col("file")) == "python", "python").otherwise("script"))
+    key = ["project", "language"]
+    nodes = place(a.nodes.select("project", "gid", "file"))
+    own = nodes.select("gid", "file", "language")
+    count = lambda df, name: df.groupBy(*key).agg(F.count("*").alias(name))
+    out = nodes.groupBy(*key).agg(F.count("*").alias("nodes"), scores.depth_budget(F.count("*")).alias("budget"))
+    roots = a.roots.select("project", "gid").join(own, "gid").groupBy(*key).agg(F.count("*").alias("roots"), F.countDistinct("gid").alias("tools"))
+    at = own.select("gid", "file")
+    both = a.edges.join(at.toDF("src", "from_file"), "src").join(nodes.select(F.col("gid").alias("dst"), F.col("file").alias("to_file"), *key), "dst")
+    edges = both.groupBy(*key).agg(F.count("*").alias("edges"), F.count_if(F.col("from_file") != F.col("to_file")).alias("cross_file_edges"))
+    lost = a.unresolved.join(nodes, "gid").groupBy(*key).agg(F.sum("calls").alias("unresolved_calls"))
+    events = a.events.groupBy(*key).agg(F.count_if("depth_limit_hit").alias("depth_limited_events"), F.count_if(F.size("unresolved_calls") > 0).alias("events_with_unresolved"))
+    for part in (roots, count(place(a.operations.select("project", "file")), "operations"), edges, lost, events):
+        out = out.join(part, key, "left")
+    return out.na.fill(0)
+
+
+def first_diagnostics(a: Analysis) -> DataFrame:
+    """The scripts' diagnostics of the first project that has any, which a report of several carries; no row if none has."""
+    return diagnostics(a).where("language = 'script'").orderBy("project").limit(1)
 
 
 @dataclass
 class Report:
-    """A report of one project, small enough to be printed; findings and events as lists of dicts, in order."""
+    """A report of one project, small enough to be printed; findings and events as lists of dicts, in order. write_json() is for larger ones."""
 
     files: list[str]
     failed: list[dict]
@@ -97,26 +137,22 @@ class Report:
     events: list[dict]
     frameworks: list[str]
     counts: dict[str, int]
+    exit_code: int
+    conclusion: str
+    diagnostics: dict | None = None
 
     @property
     def partial(self) -> bool:
         return bool(self.failed or self.skipped)
 
-    @property
-    def exit_code(self) -> int:
-        return 3 if self.failed else 2 if self.counts["critical"] else 1 if self.counts["warning"] else 0
 
-    @property
-    def conclusion(self) -> str:
-        if not self.files or self.counts["critical"]:
-            return "failure"
-        return "neutral" if self.partial or self.counts["warning"] or self.counts["info"] else "success"
+def leveled(a: Analysis, level: str, min_confidence: float | None) -> DataFrame:
+    findings = at_level(a.findings, level)
+    return findings if min_confidence is None else findings.where(F.col("confidence") >= min_confidence)
 
 
 def report(a: Analysis, level: str = "info", min_confidence: float | None = None) -> Report:
-    findings = at_level(a.findings, level)
-    if min_confidence is not None:
-        findings = findings.where(F.col("confidence") >= min_confidence)
+    findings = leveled(a, level, min_confidence)
     rows = lambda df: [r.asDict(True) for r in df.collect()]
     status = rows(a.files.orderBy("project", "file"))
     found, events = rows(sorted_findings(findings)), rows(sorted_events(a.events))
@@ -125,16 +161,31 @@ def report(a: Analysis, level: str = "info", min_confidence: float | None = None
         if s["skipped"]:
             kind = s["file"].rpartition(".")[2] if "." in s["file"] else "other"
             skipped[kind] = skipped.get(kind, 0) + 1
-    counts = {"total": len(found)} | {s: sum(f["severity"] == s for f in found) for s in RANK}
-    return Report([s["file"] for s in status if not s["error"]], [{"file": s["file"], "error": s["error"]} for s in status if s["error"] and not s["skipped"]], skipped, found, events, sorted({e["framework"] for e in events if e["framework"]}), counts)
+    v = verdicts(findings, a.files).first()
+    first = first_diagnostics(a).first()
+    failed = [{"file": s["file"], "error": s["error"]} for s in status if s["error"] and not s["skipped"]]
+    return Report([s["file"] for s in status if not s["error"]], failed, skipped, found, events, sorted(r.framework for r in frameworks(a.events, findings).collect()), {c: v[c] for c in ("total", *RANK)}, v.exit_code, v.conclusion, first.asDict() if first else None)
 
 
-def as_json(r: Report, repository: str = "", timestamp: str | None = None, file_limit: int | None = None) -> str:
+def metadata(timestamp: str | None, file_limit: int | None) -> dict:
     now = timestamp or datetime.datetime.now(datetime.UTC).isoformat()
-    body = {"repository": repository, "files_analyzed": len(r.files), "total_findings": r.counts["total"], "total_events": len(r.events), "by_severity": {s: r.counts[s] for s in RANK}, "frameworks_detected": r.frameworks, "findings": r.findings, "events": r.events, "metadata": {"version": VERSION, "timestamp": now, "failed_files": r.failed, "skipped_languages": r.skipped, "partial_coverage": r.partial, "file_limit": file_limit, "disclosure": DISCLOSURE}}
+    return {"version": VERSION, "timestamp": now, "file_limit": file_limit, "disclosure": DISCLOSURE}
+
+
+def as_json(r: Report, repository: str = "", timestamp: str | None = None, file_limit: int | None = None) -> str:
+    body = {"repository": repository, "files_analyzed": len(r.files), "total_findings": r.counts["total"], "total_events": len(r.events), "by_severity": {s: r.counts[s] for s in RANK}, "frameworks_detected": r.frameworks, "findings": r.findings, "events": r.events, "metadata": metadata(timestamp, file_limit) | {"failed_files": r.failed, "skipped_languages": r.skipped, "partial_coverage": r.partial, "diagnostics": r.diagnostics}}
     return json.dumps(body, indent=2, default=str)
 
 
+def write_json(a: Analysis, path: str, level: str = "info", min_confidence: float | None = None, timestamp: str | None = None) -> None:
+    """A report of any size as folders of JSON lines, written by the executors: findings, events, files, and summary with a row for each project."""
+    findings = leveled(a, level, min_confidence)
+    out = {"findings": sorted_findings(findings), "events": sorted_events(a.events), "files": a.files, "diagnostics": diagnostics(a)}
+    out["summary"] = verdicts(findings, a.files, "project").withColumn("metadata", F.lit(json.dumps(metadata(timestamp, None))))
+    for name, df in out.items():
+        df.write.mode("overwrite").json(f"{path}/{name}")
+
+
 def more(items: list[str], k: int) -> str:
     return ", ".join(items[:k]) + (f" (+{len(items) - k} more)" if len(items) > k else "")
 

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatecrest.functions import rules
-from gatecrest.operators import matching
+from gatecrest.operators import by_project, matching
 from gatecrest.operators.checkpoints import cut
-from gatecrest.operators.resolve import names_of, resolve
-from gatecrest.plans.exposure import edges_of, events_of, exploded, gid, node_of, nodes_of, resource, with_rules
+from gatecrest.operators.resolve import names_of
+from gatecrest.plans.exposure import edges_of, events_of, exploded, gid, node_of, nodes_of, open_calls, resource, with_rules
 from gatecrest.sources.script_facts import script_facts
 
 #: What an instance of these classes is called in the rules.
@@ -23,7 +23,8 @@ def script_identity(identity: Column) -> Column:
     out = F.regexp_replace(F.regexp_replace(identity, r"\(\)|\[\]", ""), "^@|^this[.]", "")
     for cls, name in INSTANCES.items():
         out = F.regexp_replace(out, rf"^(.*[./])?{cls}(?=[.])", name)
-    return F.when(identity.startswith("#") | identity.startswith("module:"), None).otherwise(out)
+    bare = ~identity.startswith("@") & ~out.contains(".")  # a global: its rules go by the callee's text
+    return F.when(identity.startswith("#") | identity.startswith("module:") | bare, None).otherwise(out)
 
 
 def linked_packages(facts: DataFrame, names: DataFrame) -> DataFrame:
@@ -52,8 +53,8 @@ def unique_functions(nodes: DataFrame) -> DataFrame:
     return g.select("project", "name", F.when(F.col("n") == 1, F.col("any")).when(F.col("e") == 1, F.col("exported")).alias("node")).where("node is not null")
 
 
-def analyse_scripts(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """facts, nodes, edges, roots, operations and events of the script files."""
+def analyse_scripts(files: DataFrame) -> tuple[DataFrame, ...]:
+    """facts, nodes, edges, roots, operations, events and unresolved calls of the script files."""
     facts = cut(script_facts(files))
     names = cut(linked_packages(facts, names_of(facts)).unionByName(exports(facts)))
     nodes = cut(nodes_of(facts))
@@ -61,7 +62,7 @@ def analyse_scripts(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame,
     none = F.lit(None).cast("string")
     declared = exploded(facts, "roots").withColumn("rid", F.concat_ws("|", F.lit("r"), "project", "file", F.col("ord").cast("string")))
     refs = calls.select("rid", "project", "file", "fn", "cls", "chain").unionByName(declared.select("rid", "project", "file", none.alias("fn"), none.alias("cls"), F.col("name").alias("chain")))
-    found = resolve(refs, names)
+    found = by_project.resolved(refs, names)
     # names that hold more than a plain chain, as those of inline callbacks, are their function's own
     own = declared.join(nodes.select("project", "file", F.expr("substring(node, length(file) + 2)").alias("name"), F.col("node").alias("direct")), ["project", "file", "name"], "left")
     own = own.join(found.where("node is not null").select("rid", "node"), "rid", "left").join(unique_functions(nodes).withColumnRenamed("node", "only"), ["project", "name"], "left")
@@ -75,7 +76,7 @@ def analyse_scripts(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame,
     edges = cut(edges_of(to, nodes))
     identities = found.where("node is null").select("rid", script_identity(F.col("identity")).alias("identity"))
     ops = with_rules(placed.join(identities, "rid", "left"), rules.SCRIPT_RESOLVED, rules.SCRIPT_FALLBACK)
-    ops = ops.withColumn("resource", F.coalesce("hint", resource())).withColumn("changes_state", F.col("writes"))
+    ops = ops.withColumn("resource", F.coalesce("hint", resource())).withColumn("changes_state", F.col("writes")).withColumn("snippet", F.col("callee"))
     ops = cut(ops.select("project", "file", "caller", "ord", "line", "col", "operation", "snippet", "category", "severity", "kind", "resource", "changes_state", "args"))
-    unresolved = placed.join(to.select("rid").distinct(), "rid", "left_anti").groupBy("caller").agg(F.sort_array(F.collect_list(F.struct("ord", "callee"))).alias("x")).select("caller", F.transform("x", lambda x: x["callee"]).alias("unresolved"))
-    return facts, nodes, edges, roots, ops, cut(events_of(nodes, edges, roots, ops, unresolved, "script"))
+    unresolved = cut(open_calls(placed, to))
+    return facts, nodes, edges, roots, ops, cut(events_of(nodes, edges, roots, ops, unresolved, "script")), unresolved

@@ -10,21 +10,22 @@ from pyspark.sql import functions as F
 from gatecrest.functions import scores
 from gatecrest.operators import matching, reach
 from gatecrest.operators.checkpoints import cut
+from gatecrest.plans import report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-#: Pattern, category, severity; in order of precedence.
+#: Pattern, category, severity, literals of which the text must hold one; in order of precedence.
 TEXT_RULES = (
-    ("AKIA[0-9A-Z]{16}", "code_execution", "critical"),
-    ("(password|token) *= *[^ ]{8}", "shell_execution", "critical"),
-    ("[A-Za-z0-9._]+@[A-Za-z0-9.]+[.][a-z]{2,}", "api_call", "warning"),
-    ("(^|[^0-9])[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}", "api_call", "warning"),
-    ("[Ll]icen[sc]e|[Cc]opyright", "file_operation", "warning"),
-    ("[A-Z]{4,}!!", "tool_call", "info"),
-    (" [|] ", "database_operation", "info"),
+    ("AKIA[0-9A-Z]{16}", "code_execution", "critical", ("AKIA",)),
+    ("(password|token) *= *[^ ]{8}", "shell_execution", "critical", ("password", "token")),
+    ("[A-Za-z0-9._]+@[A-Za-z0-9.]+[.][a-z]{2,}", "api_call", "warning", ("@",)),
+    ("(^|[^0-9])[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}", "api_call", "warning", ()),
+    ("[Ll]icen[sc]e|[Cc]opyright", "file_operation", "warning", ("icen", "opyright")),
+    ("[A-Z]{4,}!!", "tool_call", "info", ("!!",)),
+    (" [|] ", "database_operation", "info", (" | ",)),
 )
-PATTERNS = [p for p, _, _ in TEXT_RULES]
+PATTERNS, NEEDS = [r[0] for r in TEXT_RULES], [r[3] for r in TEXT_RULES]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,19 +48,24 @@ def case_sql(text: str, values: list | None = None) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({text}, '{p}') THEN {x!r}" for p, x in zip(PATTERNS, v)) + " END"
 
 
-CATEGORY, SEVERITY = [c for _, c, _ in TEXT_RULES], [s for _, _, s in TEXT_RULES]
-#: One event for each document that a rule matches; a document that the labels call good counts as gated.
-EVENTS = f"""e AS (SELECT d.doc_id AS line, d.source AS tool, d.lang AS framework, {case_sql("d.text")} AS rule, {case_sql("d.text", CATEGORY)} AS category,
- {case_sql("d.text", SEVERITY)} AS severity, CASE WHEN l.quality = 1 THEN 'present' ELSE 'absent' END AS gate, d.n_chars
- FROM documents d LEFT JOIN labels l USING (doc_id)), ev AS (SELECT *, CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END AS rank FROM e WHERE rule IS NOT NULL)"""
+CATEGORY, SEVERITY = [r[1] for r in TEXT_RULES], [r[2] for r in TEXT_RULES]
+#: One event for each document that a rule matches, with the columns that reports read; a document that the labels call good counts as gated.
+EVENTS = f"""e AS (SELECT d.source AS file, d.doc_id AS line, d.source AS tool, d.lang AS framework, {case_sql("d.text")} AS rule, {case_sql("d.text", CATEGORY)} AS category,
+ {case_sql("d.text", SEVERITY)} AS severity, CASE WHEN l.quality = 1 THEN 'present' ELSE 'absent' END AS gate_status, d.n_chars
+ FROM documents d LEFT JOIN labels l USING (doc_id)), ev AS (SELECT *, category || ': rule ' || rule AS operation, CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END AS rank FROM e WHERE rule IS NOT NULL)"""
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("line"), F.col("source").alias("tool"), F.col("lang").alias("framework"), matching.first_match(F.col("text"), PATTERNS).alias("rule"), "n_chars")
+    docs = table(spark, d, "documents").select(F.col("source").alias("file"), F.col("doc_id").alias("line"), F.col("source").alias("tool"), F.col("lang").alias("framework"), "n_chars", "text")
+    docs = matching.matched(docs, "text", PATTERNS, "rule", NEEDS).drop("text")
     labels = table(spark, d, "labels").select(F.col("doc_id").alias("line"), "quality")
-    out = docs.where("rule is not null").join(labels, "line", "left")
-    severity = matching.lookup(F.col("rule"), SEVERITY)
-    return out.select("line", "tool", "framework", "rule", matching.lookup(F.col("rule"), CATEGORY).alias("category"), severity.alias("severity"), F.when(F.col("quality") == 1, "present").otherwise("absent").alias("gate"), "n_chars", scores.rank(severity).alias("rank"))
+    out = docs.join(labels, "line", "left").withColumn("category", matching.lookup(F.col("rule"), CATEGORY)).withColumn("severity", matching.lookup(F.col("rule"), SEVERITY))
+    out = out.withColumn("operation", F.concat("category", F.lit(": rule "), F.col("rule").cast("string"))).withColumn("gate_status", F.when(F.col("quality") == 1, "present").otherwise("absent"))
+    return out.select("file", "line", "tool", "framework", "rule", "operation", "category", "severity", "gate_status", "n_chars")
+
+
+def ungated(spark: SparkSession, d: str) -> DataFrame:
+    return events(spark, d).where("gate_status = 'absent'")
 
 
 def ownership(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -112,32 +118,46 @@ def reach_first_path(spark: SparkSession, d: str) -> DataFrame:
     return reach.first_paths(e.select(F.col("src").alias("root")), e).select("root", "node", F.array_join("path", ">").alias("path"))
 
 
+#: Nations trade where a customer of one has a line from a supplier of the other; the greater the trade, the earlier the edge.
 TRADE = """v AS (SELECT c_nationkey AS a, s_nationkey AS b, sum(round(l_extendedprice * 100)::BIGINT) AS v FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
- JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2), g AS (SELECT a AS src, b AS dst FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY v DESC, b) AS r FROM v WHERE a <> b) WHERE r <= 2)"""
+ JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2), g AS (SELECT a AS src, b AS dst FROM v WHERE a <> b)"""
 
 
 @query(f"""WITH RECURSIVE {TRADE}, p AS (SELECT n_nationkey AS root, n_nationkey AS node, 0 AS depth FROM nation UNION SELECT p.root, g.dst, p.depth + 1 FROM p JOIN g ON p.node = g.src WHERE p.depth < 24)
  SELECT root, node, min(depth)::INTEGER AS depth FROM p GROUP BY 1, 2""")
 def bfs_shortest(spark: SparkSession, d: str) -> DataFrame:
-    """Breadth first over each nation's two greatest trading partners."""
+    """Breadth first over the trade between nations."""
     t = lambda n: table(spark, d, n)
     lines = t("lineitem").select("l_orderkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long").alias("v"))
     v = lines.join(t("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")), "l_orderkey").join(t("customer").select("c_custkey", F.col("c_nationkey").alias("src")), "c_custkey")
     v = v.join(t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("dst")), "l_suppkey").groupBy("src", "dst").agg(F.sum("v").alias("v")).where("src <> dst")
-    e = cut(v.withColumn("ord", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("v"), "dst"))).where("ord <= 2").select("src", "dst", "ord"))
+    e = cut(v.withColumn("ord", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("v"), "dst"))).select("src", "dst", "ord"))
     return reach.shortest_paths(t("nation").select(F.col("n_nationkey").alias("root")), e, 24).select("root", "node", "depth")
 
 
-@query("SELECT 'c' || c_custkey AS root FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+#: Each event leads to the user's next one; every seventh ends its chain.
+HOPS = """h AS (SELECT event_id AS src, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events), j AS (SELECT src, dst FROM h WHERE dst IS NOT NULL AND src % 7 <> 0)"""
+
+
+@query(f"""WITH RECURSIVE {HOPS}, p AS (SELECT event_id AS root, event_id AS node, 0 AS depth FROM events WHERE event_type = 'signup' UNION SELECT p.root, j.dst, p.depth + 1 FROM p JOIN j ON p.node = j.src WHERE p.depth < 12)
+ SELECT root, node, depth::INTEGER AS depth FROM p""")
+def bfs_deep(spark: SparkSession, d: str) -> DataFrame:
+    """Breadth first over long chains, to a bounded depth: what a user's sign-up leads to."""
+    e = table(spark, d, "events")
+    j = e.select(F.col("event_id").alias("src"), F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("dst"), F.lit(0).alias("ord")).where("dst is not null and src % 7 <> 0")
+    return reach.shortest_paths(e.where("event_type = 'signup'").select(F.col("event_id").alias("root")), cut(j), 12).select("root", "node", "depth")
+
+
+@query("SELECT 'c' || c_custkey AS root FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def unreachable_roots(spark: SparkSession, d: str) -> DataFrame:
-    """Customers who reach no order."""
+    """Customers who reach no urgent order."""
     key = lambda c: F.concat(F.lit("c"), F.col(c).cast("string")).alias("root")
-    return reach.unreached(table(spark, d, "customer").select(key("c_custkey")), table(spark, d, "orders").select(key("o_custkey")))
+    return reach.unreached(table(spark, d, "customer").select(key("c_custkey")), table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(key("o_custkey")))
 
 
-def _ruled(df: DataFrame, key: str, text: str) -> DataFrame:
-    r = matching.first_match(F.col(text), PATTERNS)
-    return df.select(key, r.alias("rule"), matching.lookup(r, CATEGORY).alias("category"), matching.lookup(r, SEVERITY).alias("severity")).where("rule is not null")
+def _ruled(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    r = matching.matched(df.select(*keys, text), text, PATTERNS, "rule", NEEDS)
+    return r.select(*keys, "rule", matching.lookup(F.col("rule"), CATEGORY).alias("category"), matching.lookup(F.col("rule"), SEVERITY).alias("severity"))
 
 
 def _ruled_sql(name: str, key: str, text: str) -> str:
@@ -146,84 +166,96 @@ def _ruled_sql(name: str, key: str, text: str) -> str:
 
 @query(_ruled_sql("documents", "doc_id", "text"))
 def rule_first_match(spark: SparkSession, d: str) -> DataFrame:
-    return _ruled(table(spark, d, "documents"), "doc_id", "text")
+    return _ruled(table(spark, d, "documents"), ["doc_id"], "text")
 
 
 @query(_ruled_sql("pages", "page_id", "html"))
 def rule_pages(spark: SparkSession, d: str) -> DataFrame:
-    return _ruled(table(spark, d, "pages"), "page_id", "html")
+    return _ruled(table(spark, d, "pages"), ["page_id"], "html")
 
 
-@query(f"SELECT conv_id, turn, {case_sql('text')}::INTEGER AS rule FROM conversations WHERE {case_sql('text')} IS NOT NULL")
-def rule_conversations(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").select("conv_id", "turn", matching.first_match(F.col("text"), PATTERNS).alias("rule")).where("rule is not null")
+#: Turns of a conversation, by what they begin with.
+TURN_RULES = ("^[A-Z][a-z]+ [a-z]+ing ", "^(What|Why|How|Can|Could) ", "[?]$", "^[A-Z]", "[.]$")
 
 
-def _counts() -> list[Column]:
-    return [F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in ("critical", "warning", "info", "suppressed")]
+@query("SELECT conv_id, turn, CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN {k}" for k, p in enumerate(TURN_RULES)) + " END::INTEGER AS rule FROM conversations WHERE " + " OR ".join(f"regexp_matches(text, '{p}')" for p in TURN_RULES))
+def rule_conversations(spark: SparkSession, d: str) -> DataFrame:
+    return matching.matched(table(spark, d, "conversations").select("conv_id", "turn", "text"), "text", TURN_RULES, "rule").drop("text")
 
 
-COUNTS = ", ".join(f"count(*) FILTER (severity = '{s}')::BIGINT AS n_{s}" for s in ("critical", "warning", "info", "suppressed"))
+COUNTS = "count(*)::BIGINT AS total, " + ", ".join(f"count(*) FILTER (severity = '{s}')::BIGINT AS {s}" for s in scores.RANK)
 
 
-@query(f"WITH {EVENTS} SELECT {COUNTS}, count(*)::BIGINT AS total, count(DISTINCT tool)::BIGINT AS files FROM ev")
+@query(f"WITH {EVENTS} SELECT {COUNTS} FROM ev")
 def severity_counts(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).agg(*_counts(), F.count("*").alias("total"), F.countDistinct("tool").alias("files"))
+    return report.severity_counts(events(spark, d))
 
 
-@query(f"WITH {EVENTS} SELECT line, tool, severity FROM ev WHERE gate = 'absent' AND rank <= 1")
+@query(f"WITH {EVENTS} SELECT line, tool, severity FROM ev WHERE gate_status = 'absent' AND rank <= 1")
 def level_filter(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).where("gate = 'absent'").where(F.col("rank") <= scores.RANK["warning"]).select("line", "tool", "severity")
+    return report.at_level(ungated(spark, d), "warning").select("line", "tool", "severity")
+
+
+#: Documents as files of a project for each source: some failed, some in a language that isn't analysed.
+STATUS = "st AS (SELECT d.source AS tool, l.doc_id IS NULL AND d.doc_id % 50 = 0 AS failed, d.lang = 'es' AND d.doc_id % 40 = 0 AS skipped, d.lang FROM documents d LEFT JOIN labels l USING (doc_id))"
+
+
+def status(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("tool"), F.col("lang").alias("language")).join(table(spark, d, "labels").select("doc_id", F.lit(1).alias("seen")), "doc_id", "left")
+    skipped = (F.col("language") == "es") & (F.col("doc_id") % 40 == 0)
+    failed = F.col("seen").isNull() & (F.col("doc_id") % 50 == 0)
+    return docs.select("tool", "language", F.when(skipped, "Unsupported file type").when(failed, "Syntax error").alias("error"), skipped.alias("skipped"))
 
 
-@query(f"WITH {EVENTS} SELECT tool, (CASE WHEN count(*) FILTER (severity = 'critical') > 0 THEN 2 WHEN count(*) FILTER (severity = 'warning') > 0 THEN 1 ELSE 0 END)::INTEGER AS exit_code FROM ev WHERE gate = 'absent' GROUP BY tool")
-def exit_code(spark: SparkSession, d: str) -> DataFrame:
-    n = events(spark, d).where("gate = 'absent'").groupBy("tool").agg(*_counts())
-    return n.select("tool", scores.exit_code(F.lit(0), F.col("n_critical"), F.col("n_warning")).alias("exit_code"))
+@query(f"""WITH {EVENTS}, {STATUS}, f AS (SELECT tool, count(*)::BIGINT AS files, count(*) FILTER (failed AND NOT skipped)::BIGINT AS failed, count(*) FILTER (skipped)::BIGINT AS skipped FROM st GROUP BY 1),
+ n AS (SELECT tool, {COUNTS} FROM ev WHERE gate_status = 'absent' GROUP BY tool)
+ SELECT tool, files, failed, skipped, {", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in ("total", *scores.RANK))}, CASE WHEN failed > 0 THEN 3 WHEN critical > 0 THEN 2 WHEN warning > 0 THEN 1 ELSE 0 END::INTEGER AS exit_code,
+ CASE WHEN files - skipped - failed <= 0 OR critical > 0 THEN 'failure' WHEN failed > 0 OR skipped > 0 OR warning > 0 OR info > 0 THEN 'neutral' ELSE 'success' END AS conclusion FROM f LEFT JOIN n USING (tool)""")
+def verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Exit codes and check conclusions."""
+    return report.verdicts(ungated(spark, d), status(spark, d), "tool")
 
 
-@query(f"""WITH {EVENTS} SELECT tool, count(*)::BIGINT AS n, min(rank)::INTEGER AS worst, array_to_string(list_sort(list(DISTINCT category)), ',') AS operations
- FROM ev WHERE gate = 'absent' GROUP BY tool ORDER BY worst, n DESC, tool LIMIT 10""")
+@query(f"WITH {STATUS} SELECT tool, bool_or(failed OR skipped) AS partial, array_to_string(list_sort(list(DISTINCT lang) FILTER (NOT failed AND NOT skipped)), ',') AS languages FROM st GROUP BY 1")
+def partial_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return report.coverage(status(spark, d), "tool").withColumn("languages", F.array_join("languages", ","))
+
+
+@query(f"""WITH {EVENTS} SELECT tool, n, operations, CASE worst WHEN 0 THEN 'critical' WHEN 1 THEN 'warning' ELSE 'info' END AS severity FROM
+ (SELECT tool, count(*)::BIGINT AS n, min(rank) AS worst, array_to_string(list_sort(list(DISTINCT operation)), ',') AS operations
+ FROM ev WHERE gate_status = 'absent' GROUP BY tool ORDER BY worst, n DESC, tool LIMIT 10)""")
 def risk_matrix_topk(spark: SparkSession, d: str) -> DataFrame:
     """The ten tools at most risk."""
-    m = events(spark, d).where("gate = 'absent'").groupBy("tool").agg(F.count("*").alias("n"), F.min("rank").alias("worst"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("operations"))
-    return m.orderBy("worst", F.desc("n"), "tool").limit(10)
+    return report.risk_matrix(events(spark, d)).withColumn("operations", F.array_join("operations", ","))
 
 
 @query(f"WITH {EVENTS} SELECT coalesce(nullif(framework, ''), 'generic') AS framework, count(*)::BIGINT AS n FROM ev GROUP BY 1 ORDER BY n DESC, framework LIMIT 8")
 def framework_breakdown(spark: SparkSession, d: str) -> DataFrame:
-    name = F.coalesce(F.nullif(F.col("framework"), F.lit("")), F.lit("generic"))
-    return events(spark, d).groupBy(name.alias("framework")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "framework").limit(8)
+    return report.by_framework(events(spark, d))
 
 
 @query(f"WITH {EVENTS} SELECT category, count(*)::BIGINT AS n FROM ev GROUP BY 1")
 def category_breakdown(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).groupBy("category").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "category")
+    return report.by_category(events(spark, d))
 
 
-@query(f"""WITH {EVENTS} SELECT tool, category, gate, count(*)::BIGINT AS n, min(rank)::INTEGER AS worst, min(framework) AS framework, count(DISTINCT framework)::BIGINT AS files,
- round(sum(count(*)) OVER () * 1.0 / count(*) OVER (), 1)::DOUBLE AS dedup_ratio FROM ev GROUP BY 1, 2, 3""")
+@query(f"""WITH {EVENTS} SELECT tool, operation, category, gate_status, count(*)::BIGINT AS n, CASE min(rank) WHEN 0 THEN 'critical' WHEN 1 THEN 'warning' ELSE 'info' END AS severity,
+ arg_min(framework, line) AS framework, array_to_string(list_sort(list(DISTINCT file)), ',') AS files FROM ev GROUP BY 1, 2, 3, 4""")
 def signature_dedup(spark: SparkSession, d: str) -> DataFrame:
-    g = events(spark, d).groupBy("tool", "category", "gate").agg(F.count("*").alias("n"), F.min("rank").alias("worst"), F.min("framework").alias("framework"), F.countDistinct("framework").alias("files"))
-    total = g.agg(F.round(F.sum("n") / F.count("*"), 1).alias("dedup_ratio"))
-    return g.crossJoin(F.broadcast(total))  # one row
+    return report.signatures(events(spark, d)).withColumn("files", F.array_join("files", ","))
 
 
-@query(f"WITH {EVENTS} SELECT count(*) FILTER (gate = 'present')::BIGINT AS present, count(*) FILTER (gate = 'absent')::BIGINT AS absent, CASE WHEN count(*) > 0 THEN floor(count(*) FILTER (gate = 'present') * 100.0 / count(*) + 0.5)::BIGINT ELSE 0 END AS rate FROM ev")
+@query(f"""WITH {EVENTS} SELECT count(*) FILTER (gate_status = 'present')::BIGINT AS present, count(*) FILTER (gate_status = 'absent')::BIGINT AS absent,
+ CASE WHEN count(*) > 0 THEN floor(count(*) FILTER (gate_status = 'present') * 100.0 / count(*) + 0.5)::BIGINT ELSE 0 END AS rate, count(DISTINCT operation) FILTER (gate_status = 'absent')::BIGINT AS ungated_operations FROM ev""")
 def gate_coverage(spark: SparkSession, d: str) -> DataFrame:
-    g = events(spark, d).agg(F.count_if(F.col("gate") == "present").alias("present"), F.count_if(F.col("gate") == "absent").alias("absent"))
-    return g.select("present", "absent", scores.percent(F.col("present"), F.col("present") + F.col("absent")).alias("rate"))
+    """With the number of distinct operations that no gate guards."""
+    return report.gate_coverage(events(spark, d))
 
 
-@query(f"WITH {EVENTS} SELECT count(DISTINCT tool || category)::BIGINT AS n FROM ev WHERE gate = 'absent'")
-def distinct_ungated(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).where("gate = 'absent'").agg(F.countDistinct("tool", "category").alias("n"))
-
-
-@query(f"WITH {EVENTS} SELECT tool, category, line, gate FROM (SELECT *, row_number() OVER (PARTITION BY tool, category ORDER BY n_chars, line) AS r FROM ev) WHERE r = 1")
+@query(f"WITH {EVENTS} SELECT tool, category, line, gate_status FROM (SELECT *, row_number() OVER (PARTITION BY tool, category ORDER BY n_chars, line) AS r FROM ev) WHERE r = 1")
 def event_dedup_first(spark: SparkSession, d: str) -> DataFrame:
     """The first event of each key, with its own gate."""
-    return matching.first_by(events(spark, d), ["tool", "category"], "n_chars", "line").select("tool", "category", "line", "gate")
+    return matching.first_by(events(spark, d), ["tool", "category"], "n_chars", "line").select("tool", "category", "line", "gate_status")
 
 
 @query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'signup' THEN 0 WHEN 'purchase' THEN 1 ELSE 2 END, ts, event_id) AS r FROM events) WHERE r = 1")
@@ -317,11 +349,10 @@ def ordered_coalesce(spark: SparkSession, d: str) -> DataFrame:
     return j.select("c_custkey", F.coalesce(named("o", "a"), named("s", "b"), named("n", "c_nationkey")).alias("target"), F.when(F.col("a").isNotNull(), 0).when(F.col("b").isNotNull(), 1).otherwise(2).alias("stage"))
 
 
-@query(f"WITH {EVENTS} SELECT severity, tool, line FROM (SELECT *, row_number() OVER (PARTITION BY severity ORDER BY tool, line) AS r FROM ev WHERE gate = 'absent') WHERE r <= CASE severity WHEN 'info' THEN 3 ELSE 5 END")
+@query(f"WITH {EVENTS} SELECT severity, tool, line FROM (SELECT *, row_number() OVER (PARTITION BY severity ORDER BY file, line, tool, operation) AS r FROM ev WHERE gate_status = 'absent') WHERE r <= CASE severity WHEN 'info' THEN 3 ELSE 5 END")
 def finding_sort_topk(spark: SparkSession, d: str) -> DataFrame:
     """Five critical and warning findings, three of info, in report order."""
-    r = events(spark, d).where("gate = 'absent'").withColumn("r", F.row_number().over(Window.partitionBy("severity").orderBy("tool", "line")))
-    return r.where(F.col("r") <= F.when(F.col("severity") == "info", 3).otherwise(5)).orderBy("rank", "tool", "line").select("severity", "tool", "line")
+    return report.sorted_findings(report.top_findings(ungated(spark, d), {"critical": 5, "warning": 5, "info": 3})).select("severity", "tool", "line")
 
 
 @query("SELECT 'document' AS kind, doc_id AS id FROM documents UNION ALL SELECT 'page', page_id FROM pages UNION ALL SELECT 'benchmark', item_id FROM benchmark")
@@ -330,19 +361,18 @@ def union_sources(spark: SparkSession, d: str) -> DataFrame:
     return one("documents", "document", "doc_id").unionByName(one("pages", "page", "page_id")).unionByName(one("benchmark", "benchmark", "item_id"))
 
 
-@query(f"WITH {EVENTS} SELECT framework FROM (SELECT framework FROM ev WHERE gate = 'absent' UNION SELECT framework FROM ev) ORDER BY 1")
+@query(f"WITH {EVENTS} SELECT framework FROM (SELECT framework FROM ev WHERE gate_status = 'absent' UNION SELECT framework FROM ev) ORDER BY 1")
 def frameworks_union_distinct(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d)
-    return e.where("gate = 'absent'").select("framework").union(e.select("framework")).distinct().orderBy("framework")
+    return report.frameworks(events(spark, d), ungated(spark, d))
 
 
 @query(f"""WITH {EVENTS} SELECT line, (greatest(45, least(98, 76 + CASE framework WHEN 'en' THEN 18 WHEN 'de' THEN 12 WHEN 'fr' THEN -4 ELSE 0 END + least(8, 2 * (line % 6)) - CASE WHEN line % 4 > 0 THEN 8 ELSE 0 END
- - CASE WHEN n_chars > 3000 THEN 10 ELSE 0 END - CASE WHEN gate = 'present' THEN 4 ELSE 0 END)) / 100.0)::DOUBLE AS confidence,
+ - CASE WHEN n_chars > 3000 THEN 10 ELSE 0 END - CASE WHEN gate_status = 'present' THEN 4 ELSE 0 END)) / 100.0)::DOUBLE AS confidence,
  (greatest(45, least(98, 80 + CASE framework WHEN 'de' THEN 10 ELSE 0 END - CASE WHEN n_chars > 3000 THEN 10 ELSE 0 END - 5 * least(line % 4, 3) + CASE WHEN line % 5 <= 2 THEN 5 ELSE 0 END)) / 100.0)::DOUBLE AS script_confidence FROM ev""")
 def confidence_score(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("framework") == "en", "structural").when(F.col("framework") == "de", "semantic").when(F.col("framework") == "fr", "heuristic").otherwise("none")
     line, long = F.col("line"), F.col("n_chars") > 3000
-    a = scores.confidence(kind, line % 6, line % 4, long, F.col("gate") == "present")
+    a = scores.confidence(kind, line % 6, line % 4, long, F.col("gate_status") == "present")
     b = scores.script_confidence(kind, line % 4, long, line % 5)
     return events(spark, d).select("line", (a / 100).alias("confidence"), (b / 100).alias("script_confidence"))
 
@@ -391,24 +421,10 @@ def graph_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     return o.agg(F.count("*").alias("nodes"), F.count_if(F.col("o_orderstatus") == "F").alias("registrations"), F.sum("k").alias("operations"), F.count_if(F.col("k").isNull()).alias("unresolved"), F.countDistinct("o_custkey").alias("tools"))
 
 
-@query(f"""WITH {EVENTS}, f AS (SELECT d.source AS tool, count(*) AS files, count(*) FILTER (l.doc_id IS NULL AND d.doc_id % 50 = 0) AS failed, count(*) FILTER (d.lang = 'es' AND d.doc_id % 40 = 0) AS skipped FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1),
- n AS (SELECT tool, {COUNTS} FROM ev WHERE gate = 'absent' GROUP BY tool)
- SELECT tool, CASE WHEN files - failed <= 0 OR n_critical > 0 THEN 'failure' WHEN failed > 0 OR skipped > 0 OR n_warning > 0 OR n_info > 0 THEN 'neutral' ELSE 'success' END AS conclusion FROM f LEFT JOIN n USING (tool)""")
-def check_conclusion(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "source", "lang").join(table(spark, d, "labels").select("doc_id", F.lit(1).alias("seen")), "doc_id", "left")
-    f = docs.groupBy(F.col("source").alias("tool")).agg(F.count("*").alias("files"), F.count_if(F.col("seen").isNull() & (F.col("doc_id") % 50 == 0)).alias("failed"), F.count_if((F.col("lang") == "es") & (F.col("doc_id") % 40 == 0)).alias("skipped"))
-    n = events(spark, d).where("gate = 'absent'").groupBy("tool").agg(*_counts())
-    return f.join(n, "tool", "left").select("tool", scores.check_conclusion(*(F.col(c) for c in ("files", "failed", "skipped", "n_critical", "n_warning", "n_info"))).alias("conclusion"))
-
-
-@query("SELECT source AS tool, bool_or(l.doc_id IS NULL) AS partial, array_to_string(list_sort(list(DISTINCT lang)), ',') AS languages FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")
-def partial_coverage(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "source", "lang").join(table(spark, d, "labels").select("doc_id", F.lit(1).alias("seen")), "doc_id", "left")
-    return docs.groupBy(F.col("source").alias("tool")).agg(F.bool_or(F.col("seen").isNull()).alias("partial"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("languages"))
-
-
 @query()
 def json_report(spark: SparkSession, d: str) -> DataFrame:
     """One JSON object for each tool."""
-    e = events(spark, d).groupBy("tool").agg(*_counts(), F.array_sort(F.collect_list(F.struct("rank", "line", "category", "gate"))).alias("events"))
-    return e.select("tool", F.to_json(F.struct("tool", "n_critical", "n_warning", "n_info", "events")).alias("report"))
+    e = events(spark, d)
+    counts = report.severity_counts(e, "tool")
+    lists = e.groupBy("tool").agg(F.array_sort(F.collect_list(F.struct("line", "operation", "severity", "gate_status"))).alias("events"))
+    return counts.join(lists, "tool").select("tool", F.to_json(F.struct("tool", "total", *scores.RANK, "events")).alias("report"))

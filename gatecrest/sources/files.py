@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import os
+import posixpath
+import re
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +16,8 @@ from gatecrest.functions import scores
 
 EXCLUDE = tuple(f"**/{d}/**" for d in scores.EXCLUDED) + ("**/*.d.ts", "**/*.min.js")
 COLUMNS = ["project", "file", "language", "source", "error"]
+#: Characters of text that a batch holds before it is handed on; files that a task reads; tasks at most.
+READ_BYTES, FILES_A_TASK, MAX_TASKS = 4 << 20, 32, 10_000
 
 
 class TooManyFiles(ValueError):
@@ -23,35 +30,90 @@ def from_sources(spark: SparkSession, rows: Iterable[tuple[str, str, str]]) -> D
     return _routed(df)
 
 
+def from_table(df: DataFrame) -> DataFrame:
+    """Files of a table (project, file, source) of any size. A null source counts as a file that can't be read."""
+    return _routed(df)
+
+
+def listed(path: str, exclude: Sequence[str] = EXCLUDE) -> list[str]:
+    """Analysable files below a directory, relative to it and in order; excluded folders aren't entered.
+
+    Names that begin with ``_`` or ``.`` are files like others (a scan by Spark's own file index would leave them out).
+    Links to folders are not followed.
+    """
+    fs, root = fs_of(path)
+    regex = [re.compile(scores.glob_regex(g)) for g in exclude]
+    whole = [r for r, g in zip(regex, exclude) if g.endswith("/**")]  # these exclude all that a folder holds
+    out, folders = [], [""]
+    while folders:
+        folder = folders.pop()
+        for info in fs.get_file_info(pafs.FileSelector(posixpath.join(root, folder) if folder else root)):
+            name = posixpath.join(folder, info.base_name)
+            if info.type == pafs.FileType.Directory:
+                if not any(r.match(name + "/") for r in whole) and not (isinstance(fs, pafs.LocalFileSystem) and os.path.islink(info.path)):
+                    folders.append(name)
+            elif posixpath.splitext(name)[1].lower() in scores.LANGUAGES and not any(r.match(name) for r in regex):
+                out.append(name)
+    return sorted(out)
+
+
+def fs_of(path: str) -> tuple[pafs.FileSystem, str]:
+    fs, root = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), os.path.abspath(path))
+    return fs, root.rstrip("/") or "/"
+
+
+def texts(spark: SparkSession, root: str, names: Sequence[str], project: str) -> DataFrame:
+    """(project, file, source) of files below root; the executors read them. The text of a file that can't be read, or isn't UTF-8, is null."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = fs_of(root)
+        for b in batches:
+            held, size = [], 0
+            for name in b.column("file").to_pylist():
+                try:
+                    with fs.open_input_stream(posixpath.join(base, name)) as f:
+                        text = f.read().decode("utf-8")
+                except (OSError, UnicodeDecodeError):
+                    text = None
+                held.append((name, text))
+                size += len(text or "")
+                if size > READ_BYTES:
+                    yield _texts(held, project)
+                    held, size = [], 0
+            if held:
+                yield _texts(held, project)
+
+    table = spark.createDataFrame([(n,) for n in names], "file string")
+    parts = max(1, min(-(-len(names) // FILES_A_TASK), MAX_TASKS))
+    return table.repartition(parts).mapInArrow(read, "project string, file string, source string")
+
+
+def _texts(held: list[tuple[str, str | None]], project: str) -> pa.RecordBatch:
+    names, sources = zip(*held)
+    return pa.RecordBatch.from_arrays([pa.array([project] * len(held)), pa.array(names), pa.array(sources, pa.string())], names=["project", "file", "source"])
+
+
 def from_directory(spark: SparkSession, path: str, project: str = "", exclude: Sequence[str] = EXCLUDE, max_files: int | None = None) -> DataFrame:
     """All analysable files below a directory, apart from those that a glob excludes.
 
-    The bytes are read by the executors, so a directory of any size works; a file that isn't UTF-8 becomes a row with an
-    error. A directory without files gives no rows.
+    The names are listed here, the bytes are read by the executors, so path must be one that they can reach (a shared
+    folder, or a URI of a file system that pyarrow knows). A directory without files gives no rows.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    root = path.rstrip("/")
-    files = reader.load(root).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
-    files = files.withColumn("file", F.substring_index("path", root + "/", -1))
-    for glob in exclude:
-        files = files.where(~F.col("file").rlike(scores.glob_regex(glob)))
-    files = files.where(scores.language(F.col("file")).isNotNull())
-    limited(files, max_files)
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
-    return _routed(files.select(F.lit(project).alias("project"), "file", text.alias("source")))
+    return _some(spark, path, listed(path, exclude), project, max_files)
 
 
 def from_paths(spark: SparkSession, paths: Sequence[str], root: str, project: str = "", max_files: int | None = None) -> DataFrame:
     """Those of the given paths (relative to root) that exist and can be analysed."""
-    wanted = spark.createDataFrame([(p,) for p in paths], "file string").distinct()
-    out = from_directory(spark, root, project, exclude=()).join(F.broadcast(wanted) if len(paths) < 10_000 else wanted, "file", "left_semi")
-    limited(out, max_files)
-    return out.select(*COLUMNS)
+    fs, base = fs_of(root)
+    known = [p for p in dict.fromkeys(paths) if posixpath.splitext(p)[1].lower() in scores.LANGUAGES]
+    infos = fs.get_file_info([posixpath.join(base, p) for p in known])
+    return _some(spark, root, [p for p, i in zip(known, infos) if i.type == pafs.FileType.File], project, max_files)
 
 
-def limited(files: DataFrame, max_files: int | None) -> None:
-    if max_files is not None and files.limit(max_files + 1).count() > max_files:
+def _some(spark: SparkSession, root: str, names: list[str], project: str, max_files: int | None) -> DataFrame:
+    if max_files is not None and len(names) > max_files:
         raise TooManyFiles(f"more than {max_files} files")
+    return _routed(texts(spark, root, names, project))
 
 
 def _routed(df: DataFrame) -> DataFrame:

@@ -28,6 +28,8 @@ KEYED = "struct<name:string,key:string,ref:string>"
 ROOT = "struct<ord:int,name:string,framework:string,evidence:string>"
 SCHEMA = f"project string, file string, language string, error string, functions array<{FUNCTION}>, calls array<{CALL}>, names array<{NAME}>, classes array<{CLASS}>, dispatch array<{KEYED}>, roots array<{ROOT}>"
 
+#: Files whose facts make one batch.
+PARSED = 16
 #: Parts of names of exceptions that refuse access, without dashes; and words that say so where they stand alone.
 DENIALS = re.compile("|".join(("access(denied|error)", "auth(entication)?error", "authorization(error|exception)", "credentialserror", "forbidden", "insufficientpermissions", "notauthorized", "permission(denied|error|exception)", "policy(error|violation)", "security(error|exception)", "tokenerror", "unauthorized(error|exception)")))
 _WORDS = ("access", "auth", "credential", "denied", "forbidden", "permission", "policy", "security", "token", "unauthorized") + tuple(f"{x}_?{y}" for y, xs in (("access", ("no",)), ("allowed", ("not",)), ("auth", ("check", "invalid", "require"))) for x in xs)
@@ -323,9 +325,12 @@ def parsed(files: DataFrame, language: str, parser) -> DataFrame:  # noqa: ANN00
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                tables, error = parser(r["file"], r["source"])
-                yield pa.RecordBatch.from_pylist([{"project": r["project"], "file": r["file"], "language": r["language"], "error": error, **(tables or {})}], schema=arrow)
+            for s in range(0, b.num_rows, PARSED):
+                rows = []
+                for r in b.slice(s, PARSED).to_pylist():
+                    tables, error = parser(r["file"], r["source"])
+                    rows.append({"project": r["project"], "file": r["file"], "language": r["language"], "error": error, **(tables or {})})
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     wanted = files.where((F.col("language") == language) & F.col("error").isNull()) if isinstance(language, str) else files.where(F.col("language").isin(*language) & F.col("error").isNull())
     return wanted.select("project", "file", "language", "source").mapInArrow(run, SCHEMA)

@@ -9,6 +9,7 @@ import posixpath
 import re
 from bisect import bisect_right
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from gatecrest.sources.python_facts import denies, parsed
@@ -21,6 +22,9 @@ AGENTIC = re.compile(r"openai|anthropic|langchain|langgraph|modelcontextprotocol
 EXECUTE = ("execute", "handler", "run", "func", "call", "invoke", "callback", "perform", "action", "start")
 ACTION_WORDS = re.compile(r"action|tool|plugin|command|skill|provider|evaluator|capability", re.I)
 REGISTER = re.compile(r"^(register|add|use|define|create|mount|install|attach)_?\w*(tool|action|plugin|command|handler|skill|function|agent|capability)s?$", re.I)
+#: Parts of the name of a call that composes a runtime, of what it composes, and of its arguments.
+COMPOSE, RUNTIMES = re.compile("create|compose|build|bootstrap|init|start"), re.compile("agent|dispatcher|orchestrator|pipeline|runtime|workflow")
+REGISTRIES = re.compile("actions|capabilities|evaluators|handlers|plugins|services|tools", re.I)
 LISTS = {"actions", "tools", "plugins", "services", "commands", "skills", "evaluators", "providers"}
 
 
@@ -31,6 +35,7 @@ class Script:
         self.breaks = [m.start() for m in re.finditer("\n", text)]
         self.tokenize()
         self.spans: list[tuple[int, int, str, str | None, list[str]]] = []  # body of each function: first and last token, name, class, parameters
+        self.bodies: set[int] = set()  # their first tokens
         self.imports: dict[str, str] = {}
         self.class_at: list[tuple[int, int, str]] = []
 
@@ -203,8 +208,9 @@ class Script:
 
     def function(self, name: str, cls: str | None, found: tuple[int, int, list[str]], at: int, exported: bool = False, decorators: list[str] | None = None) -> None:
         lo, hi, params = found
-        if any(s[0] == lo for s in self.spans):
+        if lo in self.bodies:
             return
+        self.bodies.add(lo)
         self.spans.append((lo, hi, name, cls, params))
         names = {x for p in params for x in p.split()}
         branches = stops = checks = False
@@ -400,8 +406,8 @@ class Script:
         for i, t in enumerate(self.tok):
             if t == "import" and self.t(i + 1) not in ("(", "."):
                 e = i + 1
-                while e < len(self.tok) and self.tok[e] != "from" and self.literal(e) is None and e < i + 400:
-                    e += 1
+                while e < len(self.tok) and self.tok[e] not in ("from", ";", "=", "import") and self.literal(e) is None:
+                    e = self.match.get(e, e) + 1 if self.tok[e] == "{" else e + 1
                 text = self.literal(e + 1) if self.t(e) == "from" else None
                 if text is None:
                     continue
@@ -432,15 +438,28 @@ class Script:
         else:
             self.bind(alias, [f"@{module}.{name}" if name else "@" + module], "import", at)
 
+    def owners(self) -> None:
+        """The innermost function of each token: of those that hold it the one that begins last."""
+        self.spans.sort()
+        self.first = [s[0] for s in self.spans]
+        self.owner = np.full(len(self.tok), -1, np.int32)
+        for k, s in enumerate(self.spans):
+            self.owner[s[0] : s[1] + 1] = k
+
     def scope(self, i: int) -> tuple[str | None, str | None, list[str]]:
-        best = None
-        for s in self.spans:
-            if s[0] <= i <= s[1] and (best is None or s[0] >= best[0]):
-                best = s
-        return (best[2], best[3], best[4]) if best else (None, None, [])
+        k = self.owner[i]
+        return self.spans[k][2:] if k >= 0 else (None, None, [])
+
+    def declares(self, paren: int, called: str, start: int) -> bool:
+        """Whether a parenthesis holds the parameters of a function of that name, whose body begins soon after."""
+        end = self.match[paren]
+        if self.t(end + 1) not in ("{", ":") or self.t(start - 1) in (".", "("):
+            return False
+        lo, hi = bisect_right(self.first, paren), bisect_right(self.first, end + 12)
+        return any(s[2].split(".")[-1] == called for s in self.spans[lo:hi])
 
     def scan_bodies(self) -> None:
-        self.spans.sort()
+        self.owners()
         flows: dict[tuple, dict[str, set[int]]] = {}
         for i, t in enumerate(self.tok):
             if t == "=" and self.kind[i] == "op" and i and (self.kind[i - 1] == "name"):
@@ -468,17 +487,29 @@ class Script:
                     self.bind((f"{cls}." if cls else "") + fn + "()", self.refs(i + 1, e), "return", i, fn, cls)
             elif t == "(" and i in self.match and i and (self.kind[i - 1] == "name" and self.tok[i - 1] not in KEYWORDS - {"delete"} or self.tok[i - 1] == ">") and self.t(i - 2) not in ("function",):
                 start, called = self.callee(i)
-                if not called or any(s[0] > i and s[0] <= self.match[i] + 12 and self.t(start - 1) not in (".", "(") and s[2].split(".")[-1] == called and self.t(self.match[i] + 1) in ("{", ":") for s in self.spans):
+                if not called or self.declares(i, called, start):
                     continue
                 fn, cls, params = self.scope(start)
                 flow = flows.setdefault((fn, cls), {p: {k2} for k2, ps in enumerate(params) for p in ps.split()})
                 args = []
                 for a, b in self.parts(i + 1, self.match[i]):
                     words = self.tok[a:b]
-                    args.append({"name": None, "text": self.span(a, b)[:200], "refs": self.refs(a, b), "literals": [x for k in range(a, b) if (x := self.literal(k))], "params": sorted({x for w in words for x in flow.get(w, ())})})
+                    args.append({"name": None, "text": self.header(a, b), "refs": self.refs(a, b), "literals": [x for k in range(a, b) if (x := self.literal(k))], "params": sorted({x for w in words for x in flow.get(w, ())})})
+                self.composed(called, fn, i)
                 row = self.lines[self.line(start) - 1].strip()
                 self.tables["calls"].append({"ord": start, "line": self.line(start), "col": self.pos[start] - (self.breaks[self.line(start) - 2] + 1 if self.line(start) > 1 else 0), "chain": called, "callee": called.replace("()", "").replace("[]", ""), "snippet": row if len(row) <= 100 else row[:100] + "...", "fn": fn, "cls": cls, "args": args})
 
+    def header(self, a: int, b: int) -> str:
+        """An argument's text; of a function's only what comes before its body, which has calls of its own."""
+        found = self.arrow(a)
+        return self.span(a, min(b, found[0])) if found and found[0] > a else self.span(a, b)
+
+    def composed(self, called: str, fn: str | None, paren: int) -> None:
+        """A call that builds a runtime from registries makes its function a root."""
+        name = called.replace("()", "").replace("[]", "").lower()
+        if COMPOSE.search(name) and RUNTIMES.search(name) and any(REGISTRIES.search(self.span(a, b)) for a, b in self.parts(paren + 1, self.match[paren])):
+            self.root(12, fn or called, "runtime-composition", f"{called} composes registries at line {self.line(paren)}")
+
     def scan_roots(self) -> None:
         modules = " ".join(self.imports.values())
         if re.search("openai", modules):

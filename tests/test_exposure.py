@@ -121,7 +121,7 @@ def test_one_event(events, project, tool, framework, operation, severity, path):
     (e,) = events[project]
     assert (e.tool, e.framework, e.operation.split(": ")[1], e.severity, e.call_path) == (tool, framework, operation, severity, path)
     assert e.involves_cross_file == (len({p.split(":")[0] for p in path}) > 1)
-    assert e.gate_status == "absent" and e.classification and e.evidence_kind != "heuristic" or project == "ts_later"
+    assert e.gate_status == "absent" and e.classification and e.evidence_kind != "heuristic" or project in ("ts_later", "ts_vercel")  # globals go by the callee's text
 
 
 def reached(rows):
