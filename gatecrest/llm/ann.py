@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by randomly rotated one-bit codes with error bounds (RaBitQ; Gao and Long, 2024).
 
 Vectors are normalised, so inner products are cosines. Each is stored in the list of its nearest centroid as the sign
-bits of its rotated residual, the residual's norm and the code's own inner product with it. Every row is a query and
-visits the lists of its ``probes`` nearest centroids; there an estimate of each inner product, with a bound on its
-error, chooses the vectors whose exact product is computed: those whose upper bound reaches the k-th lower bound.
+bits of its rotated residual, the residual's norm and the code's own inner product with it. A query visits the lists of
+its ``probes`` nearest centroids; there an estimate of each inner product, with a bound on its error, chooses the vectors
+whose exact product is computed: those whose upper bound reaches the k-th lower bound. Every row is in the index; queries
+are the rows whose id is divisible by ``every``.
 """
 
 from __future__ import annotations
@@ -18,14 +19,16 @@ from pyspark.sql import functions as F
 from gatecrest.llm.common import cut
 
 K = 10
-#: Vectors of a list on average; vectors of a block at most (a larger list is split); sampled vectors that place the centroids; sampled queries that set the number of probes; the recall they are to reach; bits of a query's coordinates.
-LIST, BLOCK, TRAIN, TUNE, RECALL, QUERY_BITS = 4096, 8192, 20_000, 256, 0.97, 6
+#: Ids of queries are divisible by this.
+EVERY = 20
+#: Vectors of a list on average, until there are LISTS lists, beyond which lists grow; sampled vectors for each list that place the centroids, so LISTS * TRAIN at most; vectors of a block at most (a larger list is split).
+LIST, LISTS, TRAIN, BLOCK = 4096, 1024, 32, 8192
+#: Sampled queries that set the number of probes; the recall they are to reach; bits of a query's coordinates.
+TUNE, RECALL, QUERY_BITS = 256, 0.97, 6
 #: Standard errors of an estimate that its bounds allow.
 EPSILON = 2.5
 #: Queries that are held against a block at once, and pairs whose exact product is computed at once; they bound the working memory.
 QUERIES, RERANKED = 64, 1 << 15
-#: Share of a block's pairs from which chosen vectors are reranked by a matrix product.
-DENSE = 0.02
 
 
 def unit_rows(flat: np.ndarray, dim: int) -> np.ndarray:
@@ -123,12 +126,7 @@ def search(ids: np.ndarray, x: np.ndarray, codes: Codes, qids: np.ndarray, q: np
         least = np.partition(sample, first - k, axis=1)[:, first - k] if first >= k else np.full(len(part), -np.inf)
         about += wide
         chosen = (about >= (least - 1e-6)[:, None]) & ~mine
-        many = int(chosen.sum())
-        reranked += many
-        if many > DENSE * chosen.size:  # one matrix product is cheaper than so many single ones; what comes near the k-th is then computed like those
-            near = np.where(chosen, part @ x.T, -np.inf)
-            chosen = near >= np.maximum(least, np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else -np.inf)[:, None] - 1e-5
-            chosen &= near > -np.inf
+        reranked += int(chosen.sum())
         i, j = np.nonzero(chosen)
         exact = exact_products(part, x, i, j)
         order = np.lexsort((ids[j], -exact, i))
@@ -149,14 +147,15 @@ def valid(vectors: DataFrame) -> tuple[DataFrame, int]:
     return v.where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v")), dim
 
 
-def nearest(vectors: DataFrame, k: int = K, list_size: int = LIST) -> DataFrame:
-    """(vec_id, neighbor_id, rank, score): for every vector the k others of greatest cosine, rank 1 first.
+def nearest(vectors: DataFrame, k: int = K, list_size: int = LIST, every: int = EVERY) -> DataFrame:
+    """(vec_id, neighbor_id, rank, score): for every vector whose id is divisible by ``every`` the k others of greatest cosine among all, rank 1 first.
 
     Ties go to the smaller neighbor_id. Rows are left out, as queries and as neighbours, if the id or the vector is
-    null, or if the vector is all zero, has a null, NaN or infinite coordinate, or hasn't the commonest length. Of rows
-    with one id the least vector counts. Other columns are ignored. With fewer than k other vectors all are given; no
-    rows give no rows. The number of lists grows with the table; that of probes is set so that ``TUNE`` sampled queries,
-    held against an exact scan of the whole table, reach a recall of ``RECALL``.
+    null, or if the vector has no coordinate of more than 1e-18 (so that it counts as zero), has a null, NaN or infinite
+    one or one of 1e18 or more, or hasn't the commonest length. Of rows with one id the least vector counts. vec_id must
+    be a number, or text that spells one. Other columns are ignored. With fewer than k other vectors all are given; no
+    rows, or none whose id is divisible, give no rows. The number of probes is set so that ``TUNE`` sampled queries, held
+    against an exact scan of the whole table, reach a recall of ``RECALL``.
     """
     spark = vectors.sparkSession
     v, dim = valid(vectors)
@@ -165,9 +164,13 @@ def nearest(vectors: DataFrame, k: int = K, list_size: int = LIST) -> DataFrame:
         return spark.createDataFrame([], out)
     v = cut(v)
     n = v.count()
-    take = lambda m, seed: [np.array(c) for c in zip(*((r[0], np.array(r[1], np.float32)) for r in v.orderBy(F.xxhash64("vec_id", F.lit(seed))).limit(m).collect()))]
-    lists = min(65_536, max(1, round(n / list_size)))
-    c = centroids(unit_rows(take(min(TRAIN, max(lists * 64, 256)), 1)[1], dim), lists)
+
+    def take(m: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        t = v.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(m).toArrow()
+        return t.column("vec_id").to_numpy(), t.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim)
+
+    lists = min(LISTS, max(1, round(n / list_size)))
+    c = centroids(unit_rows(take(max(lists * TRAIN, 256), 1)[1], dim), lists)
     lists, p = len(c), rotation(dim)
     probes = _probes(v, *take(TUNE, 2), c, dim, k)
 
@@ -212,9 +215,10 @@ def nearest(vectors: DataFrame, k: int = K, list_size: int = LIST) -> DataFrame:
                             yield pa.RecordBatch.from_arrays([pa.array(ids[s + i]), pa.array(found), pa.array(score)], names=["vec_id", "neighbor_id", "score"])
 
     stored = cut(v.mapInArrow(assign, "vec_id long, l int, v array<float>"))
+    # a row a list, LISTS at most, so always small enough to be broadcast
     parts = cut(stored.groupBy("l").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")))
     data = stored.join(F.broadcast(parts), "l").select("vec_id", "l", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("s"), F.lit(0).alias("role"), "v")
-    asked = v.mapInArrow(visit, "vec_id long, l int, v array<float>").join(F.broadcast(parts), "l").select("vec_id", "l", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("s"), F.lit(1).alias("role"), "v")
+    asked = v.where(F.pmod("vec_id", F.lit(every)) == 0).mapInArrow(visit, "vec_id long, l int, v array<float>").join(F.broadcast(parts), "l").select("vec_id", "l", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("s"), F.lit(1).alias("role"), "v")
     both = data.union(asked).repartition("l", "s").sortWithinPartitions("l", "s", "role", "vec_id")
     hits = both.mapInArrow(scan, "vec_id long, neighbor_id long, score double")
     best = hits.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "neighbor_id")))

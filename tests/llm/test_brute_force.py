@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gatecrest.llm import ann, components, exact_dedup, mixing, ngram_jaccard, packing, quality, sharding, tokens, toxicity
+from gatecrest.llm import ann, components, exact_dedup, mixing, ngram_jaccard, packing, quality, queries, sharding, tokens, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -127,7 +127,7 @@ def test_nearest_neighbours_recall(spark):
     centres = rng.normal(size=(40, 64))
     x = (centres[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 64)) * 0.9).astype(np.float32)
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
-    rows = ann.nearest(df, k=10, list_size=200).collect()
+    rows = ann.nearest(df, k=10, list_size=200, every=1).collect()
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = unit @ unit.T
     np.fill_diagonal(s, -9)
@@ -302,3 +302,22 @@ def test_classifiers_on_held_out_documents(spark):
     base = max(np.mean([r.quality for r in rows]), 1 - np.mean([r.quality for r in rows]))
     assert right >= 0.9 and right > base, (right, base)
     assert tested.count() == len(rows)
+
+
+@pytest.mark.parametrize("name", ["sf0.001", "sf0.01"])
+def test_registered_neighbours_against_brute_force(spark, name):
+    """Queries are the ids divisible by 20, held against all rows."""
+    v = spark.read.parquet(f"/root/testdata/{name}/embeddings.parquet").toPandas()
+    x = np.stack(v.embedding.to_numpy()).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found = defaultdict(set)
+    for r in queries.queries()["op2_nearest_neighbours"](spark, f"/root/testdata/{name}").collect():
+        found[r.vec_id].add(r.neighbor_id)
+    asked = [k for k, i in enumerate(v.vec_id) if i % 20 == 0]
+    assert set(found) == {v.vec_id[k] for k in asked}
+    hits = 0
+    for k in asked:
+        s = x @ x[k]
+        s[k] = -9
+        hits += len({*v.vec_id[np.argsort(-s)[:10]]} & found[v.vec_id[k]])
+    assert hits >= 0.95 * 10 * len(asked)

@@ -141,12 +141,12 @@ def test_vectors_of_edge_rows(spark):
     good = [(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [0.0, 1.0], 2), (3, [0.0, 1.0], 2), (4, [2.0, 0.0], None)]
     df = spark.createDataFrame(good + bad, VECTORS)
     for one in (df, df.select("*", *(F.lit(1).alias(c) for c in ("v", "l", "s", "role", "d", "rank", "score", "parts")))):
-        rows = {(r.vec_id, r["rank"]): (r.neighbor_id, r.score) for r in ann.nearest(one).collect()}
+        rows = {(r.vec_id, r["rank"]): (r.neighbor_id, r.score) for r in ann.nearest(one, every=1).collect()}
         assert {k[0] for k in rows} == {1, 2, 3, 4} and len(rows) == 12
         assert rows[1, 1] == (2, 1.0) and rows[1, 2] == (4, 1.0) and rows[4, 1] == (1, 1.0) and rows[3, 1] == (1, 0.0)
     assert ann.nearest(spark.createDataFrame([], VECTORS)).count() == 0
-    assert ann.nearest(spark.createDataFrame(bad, VECTORS).where("vec_id = 20")).count() == 0
-    assert ann.nearest(spark.createDataFrame(good[:1], VECTORS)).count() == 0
+    assert ann.nearest(spark.createDataFrame(bad, VECTORS).where("vec_id = 20"), every=1).count() == 0
+    assert ann.nearest(spark.createDataFrame(good[:1], VECTORS), every=1).count() == 0
 
 
 PAGES = "page_id long, url string, html string"
