@@ -1,8 +1,8 @@
 """Best-fit packing by hierarchical residuals.
 
 Each partition packs its own documents best-fit, longest first, and emits the bins that are nearly full. Underfull bins
-go up a tree: as items of their own they meet those of other partitions and are packed again, until one node holds what
-is left, or a round no longer merges anything.
+go up a tree: as items of their own they meet those of other partitions and are packed again. A bin that even the least
+of the others doesn't fit is emitted as it is. That goes on until one node holds what is left, or a round merges nothing.
 
 pack_in_order() packs within consecutive ranges of the rows' order instead, so that a curriculum outlives packing.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
 
 import pyarrow as pa
@@ -28,8 +29,8 @@ FULL, NODE = 0.98, 20_000
 #: Capacities that a range of pack_in_order() holds.
 RANGE = 256
 
-ITEM = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("tokens", pa.int32())])
-BIN = "bin_id string, used int, level int, items array<struct<doc_id:bigint,piece:int,start:bigint,tokens:int>>"
+ITEM = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("tokens", pa.int32()), ("offset", pa.int32())])
+BIN = "bin_id string, used int, level int, items array<struct<doc_id:bigint,piece:int,start:bigint,tokens:int,offset:int>>"
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -54,6 +55,15 @@ def pieces(doc_id: int | None, n: int, capacity: int) -> list[dict]:
     return [{"doc_id": doc_id, "piece": k, "start": k * capacity, "tokens": min(capacity, n - k * capacity)} for k in range(-(-n // capacity))]
 
 
+def offsets(items: list[dict]) -> list[dict]:
+    """The items with their places in the bin, one after another."""
+    at = 0
+    for p in items:
+        p["offset"] = at
+        at += p["tokens"]
+    return items
+
+
 def _round(df: DataFrame, level: int, capacity: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: list[list[dict]] = []
@@ -68,7 +78,7 @@ def _round(df: DataFrame, level: int, capacity: int) -> DataFrame:
         bins = best_fit([size[i] for i in order], capacity)
         me = TaskContext.get().partitionId()
         for s in range(0, len(bins), 2000):
-            part = [[p for i in b for p in groups[order[i]]] for b in bins[s : s + 2000]]
+            part = [offsets([p for i in b for p in groups[order[i]]]) for b in bins[s : s + 2000]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([f"{level}-{me}-{s + k}" for k in range(len(part))]), pa.array([sum(p["tokens"] for p in b) for b in part], pa.int32()), pa.array([level] * len(part), pa.int32()), pa.array(part, pa.list_(ITEM))],
                 names=["bin_id", "used", "level", "items"],
@@ -82,28 +92,33 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, full: float = FULL, node: in
 
     A document longer than the capacity is cut into pieces of that length and a rest; ``start`` is the piece's first
     token. No token is lost, repeated or moved within its document. Documents without a token (null, empty or blank
-    text) take no room and are left out. Null ids and repeated rows are packed as rows of their own. Only doc_id and
-    text are read. No rows give no rows.
+    text) take no room and are left out. Null ids and repeated rows are packed as rows of their own. doc_id must be a
+    number, or text that spells one. Only doc_id and text are read. No rows give no rows.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens("text").alias("n")).where("n > 0")
     least = int(capacity * full)
     bins = cut(_round(narrow, 0, capacity))
-    out, rest = bins.where(F.col("used") >= least), bins.where(F.col("used") < least)
-    left, level = rest.count(), 0
+    done = [bins.where(F.col("used") >= least)]
+    rest, level = bins.where(F.col("used") < least), 0
+    left, smallest = rest.agg(F.count("*"), F.min("used")).first()
     while left:
+        # what the smallest of the rest doesn't fit into can't be merged with anything
+        done.append(rest.where(F.col("used") + smallest > capacity))
+        rest = rest.where(F.col("used") + smallest <= capacity)
+        now = rest.count()
+        if not now:
+            break
         level += 1
-        nodes = -(-left // node)
-        placed = rest.withColumn("k", F.pmod(F.xxhash64("bin_id"), F.lit(nodes))).repartition(nodes, "k").drop("k")
-        bins = cut(_round(placed, level, capacity))
+        nodes = -(-now // node)
+        bins = cut(_round(rest.repartition(nodes), level, capacity))
+        if nodes == 1 or bins.count() == now:
+            done.append(bins)
+            break
+        done.append(bins.where(F.col("used") >= least))
         rest = bins.where(F.col("used") < least)
-        now = rest.count()
-        if nodes == 1 or now > 0.95 * left:
-            out, left = out.union(bins), 0
-        else:
-            out, left = out.union(bins.where(F.col("used") >= least)), now
-    items = out.select("bin_id", F.col("used").alias("bin_tokens"), F.posexplode("items").alias("k", "x"), "items")
-    offset = F.aggregate(F.slice("items", F.lit(1), F.col("k")), F.lit(0), lambda s, i: s + i["tokens"])
-    return items.select("bin_id", "bin_tokens", "x.doc_id", "x.piece", "x.start", "x.tokens", offset.alias("bin_offset"))
+        left, smallest = rest.agg(F.count("*"), F.min("used")).first()
+    out = reduce(DataFrame.union, done)
+    return out.select("bin_id", F.col("used").alias("bin_tokens"), F.explode("items").alias("x")).select("bin_id", "bin_tokens", "x.doc_id", "x.piece", "x.start", "x.tokens", F.col("x.offset").alias("bin_offset"))
 
 
 def row_order(docs: DataFrame) -> DataFrame:

@@ -38,3 +38,21 @@ def test_the_pipeline_packs_in_order(spark):
     docs = spark.createDataFrame([(k, "w " * 30, "en", "s") for k in range(2000)], SCHEMA).coalesce(1)
     rows = corpus_pipeline.pack(spark, docs, "").collect()
     assert rows[0].doc_id == 0 and [r.position for r in rows] == sorted(r.position for r in rows)
+
+
+def test_bins_that_could_be_merged_are(spark):
+    """Many partitions of one small document each: the tree fills bins up, and no two of the bins it leaves fit together on one node."""
+    sizes = [60 + k % 37 for k in range(600)]
+    docs = spark.createDataFrame([(k, "w " * n) for k, n in enumerate(sizes)], "doc_id long, text string").repartition(60)
+    bins = {}
+    for r in packing.pack(docs, capacity=256, node=1000).collect():
+        bins.setdefault(r.bin_id, []).append((r.bin_offset, r.tokens, r.doc_id, r.bin_tokens))
+    used = sorted(sum(t for _, t, *_ in b) for b in bins.values())
+    assert sum(used) == sum(sizes) and sorted(x[2] for b in bins.values() for x in b) == list(range(600))
+    assert used[0] + used[1] > 256 and len(bins) <= 1.12 * sum(sizes) / 256
+    for b in bins.values():
+        at = 0
+        for offset, t, _, total in sorted(b):
+            assert offset == at
+            at += t
+        assert at == total
