@@ -83,21 +83,52 @@ def slot_bytes(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     return docs.groupBy(slot(F.col("doc_id"), slots).alias("slot")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).alias("bytes"), F.count("*").alias("records"))
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions stored under path, ascending; a version whose write didn't end doesn't count."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(at)]
+    known = [int(n.removeprefix("version=")) for n in names if n.startswith("version=") and n.removeprefix("version=").isdigit()]
+    return sorted(v for v in known if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}/_SUCCESS")))
+
+
+def shards_of(spark: SparkSession, path: str, version: int) -> list[int]:
+    """The shard of each slot in a stored version."""
+    return [r.shard for r in load(spark, path, version).orderBy("slot").collect()]  # a row a slot
+
+
 def assign(docs: DataFrame, slots: int = SLOTS, shards: int = SHARDS, path: str | None = None) -> DataFrame:
-    """(doc_id, slot, shard, previous_shard, version) of every row, under the map that rebalancing made of the initial one.
+    """(doc_id, slot, shard, previous_shard, version) of every row, under the latest map after rebalancing it to the bytes of docs.
+
+    Maps are stored under ``path``, by default a new folder in the shared one. Where it holds none, version 1 gives the
+    shards equal ranges of slots. The latest version is edited, by as few moves as level the load, and stored as the next;
+    an edit that moves nothing stores nothing, and previous_shard is then the shard. A stored map of other than ``slots``
+    slots is refused, as a record's slot would change; one with more than ``shards`` shards, too, as their records would
+    have no place, while more shards than before are filled from the others.
 
-    The maps are stored under ``path``, by default in the shared folder, as version 1 (slots in equal ranges) and 2.
     Rows with equal ids share a slot; a null id has the slot of the empty string. Only doc_id and text are read. Where
-    all texts are empty, or there are no rows, version 2 equals version 1.
+    all texts are empty, or there are no rows, nothing moves.
     """
     spark = docs.sparkSession
     path = path or f"{checkpoint_dir(spark)}/slot-map-{uuid.uuid4().hex}"
     size = [0] * slots
     for row in slot_bytes(docs, slots).collect():  # at most a row a slot
         size[row["slot"]] = row["bytes"]
-    first = initial_map(slots, shards)
-    store(spark, path, 1, first)
-    store(spark, path, 2, rebalanced(first, size, shards))
-    maps = load(spark, path, 2).join(load(spark, path, 1).withColumnRenamed("shard", "previous_shard"), "slot")
+    known = versions(spark, path)
+    if not known:
+        store(spark, path, 1, initial_map(slots, shards))
+        known = [1]
+    version = known[-1]
+    now = shards_of(spark, path, version)
+    if len(now) != slots or max(now) >= shards:
+        raise ValueError(f"version {version} has {len(now)} slots on {max(now) + 1} shards, not {slots} on {shards}")
+    new = rebalanced(now, size, shards)
+    if new != now:
+        version += 1
+        store(spark, path, version, new)
+    maps = load(spark, path, version).join(load(spark, path, known[-1]).withColumnRenamed("shard", "previous_shard"), "slot")
     rows = docs.select("doc_id", slot(F.col("doc_id"), slots).alias("slot"))
-    return rows.join(F.broadcast(maps), "slot").select("doc_id", "slot", "shard", "previous_shard", F.lit(2).alias("version"))
+    return rows.join(F.broadcast(maps), "slot").select("doc_id", "slot", "shard", "previous_shard", F.lit(version).alias("version"))  # maps: a row a slot
