@@ -7,6 +7,7 @@ the connected components of these edges are the aliases of one page.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,10 +19,12 @@ from gatecrest.llm.components import connected_components
 BLOCK_WORDS = ("casino", "free-bets", "cheap-pills", "ads-track")
 ALLOW = ("tionble.example.org",)
 
-CANONICAL = r"""(?i)<link[^>]*rel=["']?canonical["']?[^>]*href=["']([^"']+)["']"""
-CANONICAL_REVERSED = r"""(?i)<link[^>]*href=["']([^"']+)["'][^>]*rel=["']?canonical"""
-REFRESH = r"""(?i)<meta[^>]*http-equiv=["']?refresh["']?[^>]*content=["'][^"']*url=([^"' >]+)"""
-MOVED = r"""(?i)location(?:[.]href)?[ ]*=[ ]*["'](https?://[^"']+)["']"""
+#: Tags that may declare where a page is, what marks them, and the target in them; then scripts that move on.
+TAGS = (
+    (r"(?i)<link\b[^>]*>", r"""(?i)\brel\s*=\s*["']?[^"'>]*\bcanonical\b""", r"""(?i)\bhref\s*=\s*["']?\s*([^"'\s>]+)"""),
+    (r"(?i)<meta\b[^>]*>", r"""(?i)\bhttp-equiv\s*=\s*["']?\s*refresh\b""", r"""(?i)\burl\s*=\s*["']?\s*([^"'\s>;]+)"""),
+)
+MOVED = r"""(?i)\blocation(?:[.]href\s*=|[.](?:replace|assign)\s*[(]|\s*=)\s*["']\s*([^"'\s]+)"""
 HOST = r"^[a-z]+://([^/?#]*)"
 
 
@@ -38,9 +41,33 @@ def normal(url: Column) -> Column:
 
 
 def absolute(target: Column, url: Column) -> Column:
-    """A target relative to the root of the page's host gets that host; other relative targets count for nothing."""
+    """A target in full: relative ones begin at the page's scheme, host, path or folder; ``.`` and ``..`` are resolved. Null for one that isn't a page's (mailto, javascript, a fragment alone)."""
     root = F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]*", 0)
-    return F.when(target.rlike("(?i)^https?://"), target).when(target.startswith("//"), F.concat(F.lit("http:"), target)).when(target.startswith("/"), F.concat(root, target))
+    page = F.regexp_extract(url, r"^[A-Za-z]+://[^?#]*", 0)
+    folder = F.regexp_replace(F.substr(page, F.length(root) + 1), "[^/]*$", "")
+    full = F.when(target.rlike("(?i)^https?://"), target).when(target.startswith("//"), F.concat(F.lit("http:"), target)).when(target.startswith("#") | target.rlike("(?i)^[a-z][a-z0-9+.-]*:"), None)
+    full = full.when(target.startswith("/"), F.concat(root, target)).when(target.startswith("?"), F.concat(page, target)).otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), target))
+    host, rest = F.regexp_extract(full, r"^[A-Za-z]+:/*[^/?#]*", 0), F.regexp_replace(full, r"^[A-Za-z]+:/*[^/?#]*", "")
+    path, tail = F.regexp_extract(rest, r"^[^?#]*", 0), F.regexp_extract(rest, r"[?#].*$", 0)
+    steps = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(x))))
+    return F.when(path.contains("/."), F.concat(host, F.array_join(steps, "/"), tail)).otherwise(full)
+
+
+def _marked(pattern: str, tag: Column) -> Column:
+    return tag.rlike(pattern)
+
+
+def _target(pattern: str, tag: Column) -> Column:
+    return F.regexp_extract(tag, pattern, 1)
+
+
+def declared(html: Column) -> Column:
+    """The targets of all canonical links, refreshes and moves of a page."""
+    found = []
+    for tag, mark, target in TAGS:
+        tags = F.filter(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), partial(_marked, mark))
+        found.append(F.transform(tags, partial(_target, target)))
+    return F.array_distinct(F.concat(*found, F.regexp_extract_all(html, F.lit(MOVED), F.lit(1))))
 
 
 def decide(pages: DataFrame, block_words: Sequence[str] = BLOCK_WORDS, allow: Sequence[str] = ALLOW) -> DataFrame:
@@ -50,13 +77,15 @@ def decide(pages: DataFrame, block_words: Sequence[str] = BLOCK_WORDS, allow: Se
     normal form, or its host, is in ``allow``. Else it is blocked if its own URL has a blocked word in the host
     ('listed'), or if an alias has ('alias'); an allowed alias neither blocks nor clears. Others are kept ('clean').
 
+    Every canonical link, refresh and move that the HTML declares counts, with attributes in any order, quoted or not.
+
     A null or blank URL has no aliases: canonical is null, and it is kept as 'no url'. Null html declares no edges.
     Repeated rows give a row each. Only page_id, url and html are read. No rows give no rows.
     """
     pages = pages.select("page_id", "url", "html")
     own = F.when(F.trim("url") != "", normal(F.col("url")))
-    targets = F.array(*(absolute(F.regexp_extract(F.coalesce("html", F.lit("")), p, 1), F.col("url")) for p in (CANONICAL, CANONICAL_REVERSED, REFRESH, MOVED)))
-    links = pages.where("html is not null and trim(url) <> ''").select(own.alias("u"), F.explode(targets).alias("t")).where("t is not null and t <> ''")
+    links = pages.where("html is not null and trim(url) <> ''").select("url", own.alias("u"), F.explode(declared(F.col("html"))).alias("t")).where("t <> ''")
+    links = links.select("u", absolute(F.col("t"), F.trim("url")).alias("t")).where("t is not null")
     edges = links.select("u", normal(F.col("t")).alias("v"))
     groups = cut(connected_components(edges))
     named = pages.select("page_id", "url", own.alias("own")).join(groups.withColumnRenamed("node", "own"), "own", "left").withColumn("component", F.coalesce("component", "own"))
@@ -72,7 +101,7 @@ def decide(pages: DataFrame, block_words: Sequence[str] = BLOCK_WORDS, allow: Se
 
 
 def oracle(block_words: Sequence[str] = BLOCK_WORDS, allow: Sequence[str] = ALLOW) -> str:
-    """The same in SQL; the components by a recursive closure over the edges."""
+    """The same in SQL with patterns of its own; the components by a recursive closure over the edges. Targets relative to a folder, which the given tables don't have, count for nothing here."""
 
     def norm(u: str) -> str:
         bare = f"regexp_replace(regexp_replace(trim({u}), '#.*$', ''), '^[A-Za-z]+://', '')"
@@ -82,7 +111,13 @@ def oracle(block_words: Sequence[str] = BLOCK_WORDS, allow: Sequence[str] = ALLO
         query = f"regexp_replace(regexp_replace(regexp_extract({rest}, '[?](.*)$', 1), '(^|&)(utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '', 'g'), '^&', '')"
         return f"({host} || {path} || CASE WHEN {query} <> '' THEN '?' || {query} ELSE '' END)"
 
-    arms = " UNION ALL ".join(f"SELECT own AS u, url, regexp_extract(html, '{p.replace(chr(39), chr(39) * 2)}', 1) AS t FROM p WHERE html IS NOT NULL" for p in (CANONICAL, CANONICAL_REVERSED, REFRESH, MOVED))
+    quote = "[\"'']?"
+    tag = lambda name, mark, at: f"SELECT own AS u, url, regexp_extract(x, '(?i)[[:space:]]{at}[[:space:]]*=[[:space:]]*{quote}([^\"''[:space:]>]+)', 1) AS t FROM (SELECT own, url, unnest(regexp_extract_all(html, '(?i)<{name}[[:space:]][^>]*>')) AS x FROM p) WHERE regexp_matches(x, '(?i){mark}')"
+    arms = " UNION ALL ".join((
+        tag("link", f"rel[[:space:]]*=[[:space:]]*{quote}[^>\"'']*canonical", "href"),
+        f"SELECT own, url, regexp_extract(x, '(?i)url[[:space:]]*=[[:space:]]*{quote}([^\"''[:space:]>;]+)', 1) FROM (SELECT own, url, unnest(regexp_extract_all(html, '(?i)<meta[[:space:]][^>]*>')) AS x FROM p) WHERE regexp_matches(x, '(?i)http-equiv[[:space:]]*=[[:space:]]*{quote}refresh')",
+        "SELECT own, url, unnest(regexp_extract_all(html, '(?i)location(?:[.]href[[:space:]]*=|[.](?:replace|assign)[[:space:]]*[(]|[[:space:]]*=)[[:space:]]*[\"'']([^\"''[:space:]]+)', 1)) FROM p",
+    ))
     target = "CASE WHEN regexp_matches(t, '(?i)^https?://') THEN t WHEN t LIKE '//%' THEN 'http:' || t WHEN t LIKE '/%' THEN regexp_extract(url, '^[A-Za-z]+://[^/?#]*', 0) || t END"
     words = "|".join(w.replace(".", "[.]") for w in block_words)
     names = ", ".join(f"'{a}'" for a in allow)
