@@ -40,3 +40,17 @@ def test_private_keys_at_the_edges(spark):
     of = [{r.secret_hash for r in rows if r.doc_id == k} for k in range(6)]
     assert [len(x) for x in of] == [2, 2, 1, 1, 1, 1]
     assert len(of[0] & of[1]) == 1 and of[2] == of[3] and of[2] < of[1] and not of[2] & of[0]
+
+
+def test_forms_of_assignments(spark):
+    value = "q7Zk29LmPx4Rt8Vw1Ny6"
+    forms = ['api_key: "{}"', '"api_key": "{}"', "API_KEY = '{}'", "api-key={}", "SECRET_KEY={}", "aws_secret_access_key = {}", "Token => '{}'", '"password": "{}"', "PASSWORD={}", "pwd = '{}'"]
+    rows = scanned(spark, [f.format(value) for f in forms])
+    assert {r.doc_id for r in rows} == set(range(len(forms))) and {r.kind for r in rows} == {"assigned_token", "password"}
+    assert len({r.secret_hash for r in rows}) == 1 and {r.verdict for r in rows if r.kind == "assigned_token"} == {"example"}  # seven owners
+    assert [r.kind for r in scanned(spark, ["id ASIA" + "Q7ZK29LMPX4RT8VW" + " and no token here", "a secret of the trade, tokens: none"])] == ["aws_access_key"]
+
+
+def test_placeholders_are_no_live_credentials(spark):
+    rows = scanned(spark, ["password = 'changeme123'", "token = 'your-token-goes-here'", "api_key = 'xxxxxxxxxxxxxxxxxxxx'", "token = 'ababababababababab'", "api_key = 'q7Zk29LmPx4Rt8Vw1Ny6'"])
+    assert [r.verdict for r in rows] == ["example"] * 4 + ["live"]
