@@ -21,6 +21,8 @@ from gatecrest.llm.common import broadcast_if_small, cut, slices, small_batches,
 PRIMES, BASES = (2147483647, 2147483629), (1103515245, 1664525111)
 #: Bytes hashed in one dot product; bytes of a chunk row; bytes from which a text is hashed by chunk rows; bytes compared at once.
 BLOCK, CHUNK, HUGE, COMPARED = 4096, 1 << 20, 8 << 20, 1 << 16
+#: Rows of one fingerprint that a task compares.
+HOT = 100_000
 #: Bytes of texts that are hashed at once; bounds the working memory.
 HASHED = 1 << 18
 FP = ["_h1", "_h2", "_len"]
@@ -119,64 +121,79 @@ def same_bytes(a: memoryview, b: memoryview) -> bool:
     return len(a) == len(b) and all(a[k : k + COMPARED] == b[k : k + COMPARED] for k in range(0, len(a), COMPARED))
 
 
-def compared(rows: DataFrame) -> DataFrame:
-    """Appends _keep, the doc_id of the first row with the same text, and _nth, 0 for that row, 1 for others. rows come sorted by fingerprint, then in the order of preference."""
+def compared(rows: DataFrame, key: list[str] = FP) -> DataFrame:
+    """Appends _keep, the doc_id of the first row with the same text, _nth, 0 for that row, 1 for others, and _class, which of the key's texts it is. rows come sorted by key, then in the order of preference."""
+    kind = rows.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, firsts = None, []  # distinct texts of the current fingerprint; one, but for collisions
+        current, firsts = None, []  # distinct texts of the current key; one, but for collisions
         for b in batches:
             if b.num_rows == 0:
                 continue
-            fp = list(zip(*(b.column(c).to_pylist() for c in FP)))
+            keys = list(zip(*(b.column(c).to_pylist() for c in key)))
             ids, texts = b.column("doc_id").to_pylist(), b.column("text")
-            keep, nth = [], []
-            for k, f in enumerate(fp):
+            keep, nth, cls = [], [], []
+            for k, f in enumerate(keys):
                 if f != current:
                     current, firsts = f, []
                 view = memoryview(texts[k].as_buffer() or b"").cast("B")
-                hit = next((i for i, t in firsts if same_bytes(t, view)), None)
+                hit = next((c for c, (_, t) in enumerate(firsts) if same_bytes(t, view)), None)
+                nth.append(int(hit is not None))
                 if hit is None:
-                    firsts.append(((ids[k],), memoryview(bytes(view))))
-                    keep.append(ids[k])
-                    nth.append(0)
-                else:
-                    keep.append(hit[0])
-                    nth.append(1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keep, pa.int64()), pa.array(nth, pa.int32())], names=[*b.schema.names, "_keep", "_nth"])
+                    hit = len(firsts)
+                    firsts.append((ids[k], memoryview(bytes(view))))
+                keep.append(firsts[hit][0])
+                cls.append(hit)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keep, b.schema.field("doc_id").type), pa.array(nth, pa.int32()), pa.array(cls, pa.int32())], names=[*b.schema.names, "_keep", "_nth", "_class"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_keep", T.LongType()), T.StructField("_nth", T.IntegerType())]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_keep", kind), T.StructField("_nth", T.IntegerType()), T.StructField("_class", T.IntegerType())]))
 
 
-def split(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """Rows whose fingerprint is theirs alone, and the others after comparison. Texts are not null.
 
-    Only the fingerprints that occur more than once are sent to the second pass; where they are few they are broadcast,
-    and only the texts that have them are shuffled.
+    All texts are fingerprinted once. Only documents that have a fingerprint which occurs more than once are read again,
+    fingerprinted again and shuffled; where they are few their ids are broadcast. A fingerprint of more than ``hot`` rows
+    is shared out to as many tasks as it has times that many rows; the first rows of these meet in a second comparison.
     """
-    known = fingerprints(docs)
-    repeated = cut(known.groupBy(*FP).agg(F.count("*").alias("c")).where("c > 1").select(*FP))
-    repeated = broadcast_if_small(repeated, repeated.count(), 64)
+    narrow = cut(fingerprints(docs).select("doc_id", *FP))
+    repeated = cut(narrow.groupBy(*FP).agg(F.count("*").alias("_c")).where("_c > 1"))
+    few = repeated.count()
+    ids = cut(narrow.join(broadcast_if_small(repeated, few, 64), FP, "left_semi").where("doc_id is not null").select(F.col("doc_id").alias("_id")).distinct())
+    ids = broadcast_if_small(ids, ids.count(), 40)
+    again = fingerprints(docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi").union(docs.where("doc_id is null")))
+    alone = docs.where("doc_id is not null").join(ids, docs["doc_id"] == ids["_id"], "left_anti")
     order: list[Column] = [F.col("doc_id").asc_nulls_last(), *(F.col(f"`{f.name}`").asc_nulls_last() for f in docs.schema.fields if f.name not in ("doc_id", "text") and isinstance(f.dataType, (T.StringType, T.NumericType, T.DateType, T.TimestampType, T.BooleanType)))]
-    again = known.join(repeated, FP, "left_semi").repartition(*FP).sortWithinPartitions(*FP, *order)
-    return known.join(repeated, FP, "left_anti"), compared(again)
-
-
-def duplicate_map(docs: DataFrame) -> DataFrame:
+    whole = lambda rows, key: compared(rows.repartition(*key).sortWithinPartitions(*key, *order), key)
+    large = repeated.where(F.col("_c") > hot).select(*FP, F.ceil(F.col("_c") / hot).cast("int").alias("_shares"))
+    if large.isEmpty():
+        return alone, whole(again, FP).drop("_class")
+    large = broadcast_if_small(large, large.count(), 64)
+    rest = whole(again.join(large.drop("_shares"), FP, "left_anti"), FP).drop("_class")
+    shared = again.join(large, FP).withColumn("_share", F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.col("_shares")).cast("int")).drop("_shares")
+    one = whole(shared, [*FP, "_share"])
+    firsts = whole(one.where("_nth = 0").withColumnRenamed("_class", "_of").drop("_keep", "_nth"), FP).select(*FP, "_share", F.col("_of").alias("_class"), F.col("_keep").alias("_first"), F.col("_nth").alias("_later"))
+    firsts = cut(firsts)
+    both = one.join(broadcast_if_small(firsts, firsts.count(), 64), [*FP, "_share", "_class"])
+    return alone, rest.unionByName(both.withColumn("_keep", F.col("_first")).withColumn("_nth", F.greatest("_nth", "_later")).select(rest.columns))
+
+
+def duplicate_map(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, keep_id, is_duplicate) of every row: keep_id is the least doc_id with the same bytes of text.
 
     A null text equals no other. Empty texts equal one another. Null ids come last, so keep_id is null only where the
-    group has no id. Repeated rows give a row each, of which the first is no duplicate. Only doc_id and text are read.
-    No rows give no rows.
+    group has no id. Repeated rows give a row each, of which the first is no duplicate. doc_id must be a number, or text
+    that spells one. Only doc_id and text are read. No rows give no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    alone, again = split(docs.where("text is not null"))
+    alone, again = split(docs.where("text is not null"), hot)
     first = lambda df: df.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(False).alias("is_duplicate"))
     return first(alone).union(first(docs.where("text is null"))).union(again.select("doc_id", "_keep", F.col("_nth") > 0))
 
 
-def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs without copies: of rows with the same text that of the least doc_id stays, of equal ids the one whose other columns sort first. Rows with a null text stay. All columns are kept."""
+def drop_exact_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """The rows of docs without copies: of rows with the same text that of the least doc_id stays, of equal ids the one whose other columns sort first. Rows with a null text stay. All columns are kept. doc_id may be of any type that has an order."""
     names = docs.columns
     docs = docs.toDF(*(c if c in ("doc_id", "text") else f"_x{k}" for k, c in enumerate(names)))  # so that no name clashes
-    alone, again = split(docs.where("text is not null"))
+    alone, again = split(docs.where("text is not null"), hot)
     return alone.select(docs.columns).union(again.where("_nth = 0").select(docs.columns)).union(docs.where("text is null")).toDF(*names)
