@@ -1,7 +1,7 @@
 """Toxicity by a convolutional text classifier: hashed word embeddings, several filter widths, max pooling.
 
-It is trained in numpy on a bounded sample of labelled documents; thresholds are calibrated by language on another. All
-documents are scored, over their whole text.
+It is trained in numpy on a bounded sample of labelled documents. The others that are labelled set the thresholds: they
+are scored where they are, and their scores counted by language. All documents are scored, over their whole text.
 """
 
 from __future__ import annotations
@@ -11,18 +11,22 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatecrest.llm.common import cut, slices, small_batches, string_buffers
+from gatecrest.llm.common import broadcast_if_small, cut, slices, small_batches, string_buffers
 from gatecrest.llm.tokens import SLICE, Tokenizer
 
-#: Labelled documents of each class to train on at most, and of both together to calibrate on.
-TRAIN_EACH, CALIBRATE = 3000, 6000
+#: Labelled documents of each class to train on at most, and bytes of their texts together.
+TRAIN_EACH, TRAIN_BYTES = 3000, 64 << 20
+#: Of ten labelled documents so many may be trained on; the others set the thresholds.
+SHARE = 7
+#: Equal parts of the scores' range in which they are counted for that.
+BINS = 2000
 #: Bytes of a word's beginnings that have embeddings of their own, for words that no labelled document has.
 PREFIXES = (4, 5, 6, 7)
 BUCKETS, DIM, FILTERS, WIDTHS, EPOCHS = 1 << 17, 8, 8, (1, 2, 3), 6
-#: Toxic and clean documents that a language needs in the calibration sample for a threshold of its own.
+#: Toxic and clean documents that a language needs among those for a threshold of its own.
 LEAST = 12
 #: How much more a clean document that is rejected costs than a toxic one that passes, in choosing thresholds.
 COST = 2.0
@@ -178,53 +182,70 @@ def train(docs: list[np.ndarray], vocabulary: np.ndarray, labels: np.ndarray, ep
     return net
 
 
-def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The middle of the gap between neighbouring scores that makes the weighted mistakes fewest; of several the widest gap."""
-    order = np.argsort(scores)
-    s, y = scores[order], labels[order]
-    edge = np.concatenate([[0.0], s, [1.0]])
-    missed = np.concatenate([[0], np.cumsum(y)])
-    wrong = np.concatenate([np.cumsum((1 - y)[::-1])[::-1], [0]])
+def best_threshold(toxic: np.ndarray, clean: np.ndarray) -> float:
+    """The border between bins of scores, given how many toxic and clean documents each has, that makes the weighted mistakes fewest; of several the middle of the longest row of neighbouring ones."""
+    missed = np.concatenate([[0], np.cumsum(toxic)])
+    wrong = np.concatenate([np.cumsum(clean[::-1])[::-1], [0]])
     cost = missed + COST * wrong
-    gap = edge[1:] - edge[:-1]
-    best = max(np.flatnonzero(cost == cost[gap > 0].min()), key=lambda i: gap[i])
-    return float((edge[best] + edge[best + 1]) / 2)
+    least = np.flatnonzero(cost == cost.min())
+    rows = np.split(least, np.flatnonzero(np.diff(least) > 1) + 1)
+    best = max(rows, key=len)
+    return float((best[0] + best[-1]) / 2 / len(toxic))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_each: int = TRAIN_EACH, calibrate: int = CALIBRATE) -> Net | None:
+def sampled(docs: DataFrame, y: DataFrame, train_each: int, train_bytes: int) -> DataFrame:
+    """(id, toxic) of the documents to train on: by a hash of the id the first of each class, and of these the first whose texts fit in train_bytes."""
+    picks = [y.where((F.col("part") == 0) & (F.col("toxic") > 0) if c else (F.col("part") == 0) & (F.col("toxic") <= 0)).orderBy("o", "doc_id").limit(train_each) for c in (0, 1)]
+    sample = cut(picks[0].union(picks[1]).select(F.col("doc_id").alias("id"), "toxic", "o"))
+    sizes = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("id")).groupBy("id", "toxic", "o").agg(F.sum(F.octet_length("text")).alias("bytes"))  # 2 * train_each rows at most
+    before = F.sum("bytes").over(Window.orderBy("o", "id").rowsBetween(Window.unboundedPreceding, -1))
+    return cut(sizes.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") + F.col("bytes") <= train_bytes).select("id", "toxic"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_each: int = TRAIN_EACH, train_bytes: int = TRAIN_BYTES) -> Net | None:
     """The net, with thresholds, from documents that labels cover; None if one of the classes has none.
 
-    The sample goes by a hash of doc_id. Of several labels for a document the greatest counts; null labels don't.
+    What is trained on goes by a hash of doc_id, and is all that comes to the driver of the texts: 2 * train_each documents
+    and train_bytes at most. Thresholds are set by all other labelled documents, or where there are none by those trained
+    on. Of several labels for a document the greatest counts; null labels don't.
     """
     small_batches(labels.sparkSession)
     y = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    y = cut(y.withColumn("o", F.xxhash64("doc_id", F.lit(5))).withColumn("part", F.when(F.pmod("o", F.lit(10)) < 7, 0).otherwise(1)))
-    picks = [y.where((F.col("part") == 0) & (F.col("toxic") == c)).orderBy("o", "doc_id").limit(train_each) for c in (0, 1)]
-    picks.append(y.where("part = 1").orderBy("o", "doc_id").limit(calibrate))
-    sample = cut(picks[0].union(picks[1]).union(picks[2]).select(F.col("doc_id").alias("id"), "toxic", "part"))
-
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").join(F.broadcast(sample), F.col("doc_id") == F.col("id")).where("text is not null")
-    rows = chosen.select("doc_id", "lang", F.col("toxic").cast("int").alias("toxic"), F.col("part").cast("int").alias("part"), "text").toArrow()
-    ids, lang, toxic, part = (np.array(rows.column(c).to_pylist()) for c in ("doc_id", "lang", "toxic", "part"))
+    y = cut(y.withColumn("o", F.xxhash64("doc_id", F.lit(5))).withColumn("part", F.when(F.pmod("o", F.lit(10)) < SHARE, 0).otherwise(1)))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").where("text is not null")
+    sample = sampled(docs, y, train_each, train_bytes)
+    rows = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("id")).select("doc_id", "toxic", "text").toArrow()
+    ids, toxic = (rows.column(c).to_numpy() for c in ("doc_id", "toxic"))
     vocabulary, flat, off = encoded(rows.column("text").chunks)
     del rows
     use = [i for i in np.argsort(ids, kind="stable") if off[i + 1] > off[i]]
-    first = [i for i in use if part[i] == 0]
-    if len({int(toxic[i] > 0) for i in first}) < 2:
+    if len({int(toxic[i] > 0) for i in use}) < 2:
         return None
-    net = train([flat[off[i] : off[i + 1]] for i in first], vocabulary, np.array([toxic[i] > 0 for i in first], np.int64))
-    held = [i for i in use if part[i] == 1] or first
-    score = np.array([net.scores(vocabulary[flat[off[i] : off[i + 1]]], np.array([0, off[i + 1] - off[i]]))[0] for i in held])
-    truth = np.array([toxic[i] > 0 for i in held], np.int64)
-    spoken = np.array([str(lang[i]) for i in held])
-    net.default = best_threshold(score, truth)
-    for one in np.unique(spoken):
-        m = spoken == one
-        if min(truth[m].sum(), (1 - truth[m]).sum()) >= LEAST:
-            net.thresholds[str(one)] = best_threshold(score[m], truth[m])
+    net = train([flat[off[i] : off[i + 1]] for i in use], vocabulary, np.array([toxic[i] > 0 for i in use], np.int64))
+    known = y.select(F.col("doc_id").alias("id"), (F.col("toxic") > 0).alias("y"), "part")
+    calibrate(net, docs, known.where("part = 1")) or calibrate(net, docs, known)
     return net
 
 
+def calibrate(net: Net, docs: DataFrame, known: DataFrame) -> bool:
+    """Sets the thresholds of the net by the scores of the documents in known (id, y); False if there are none."""
+    held = docs.join(broadcast_if_small(known.select("id", "y"), known.count(), 24), F.col("doc_id") == F.col("id"))
+    scored = held.select(F.coalesce("lang", F.lit("")).alias("lang"), "y", score_column(net, F.col("text")).alias("score")).where("score > 0")
+    counts = cut(scored.groupBy("lang", "y", F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n")))
+    total = np.zeros((2, BINS))
+    for r in counts.groupBy("y", "bin").agg(F.sum("n").alias("n")).collect():  # 2 * BINS rows at most
+        total[int(r.y), r.bin] = r.n
+    if not total.any():
+        return False
+    net.default = best_threshold(total[1], total[0])
+    enough = counts.groupBy("lang").agg(F.sum(F.when(F.col("y"), F.col("n"))).alias("t"), F.sum(F.when(~F.col("y"), F.col("n"))).alias("c")).where((F.col("t") >= LEAST) & (F.col("c") >= LEAST)).select("lang")
+    own: dict[str, np.ndarray] = {}
+    for r in counts.join(enough, "lang").collect():  # 2 * BINS rows at most for a language that has enough
+        own.setdefault(r.lang, np.zeros((2, BINS)))[int(r.y), r.bin] = r.n
+    net.thresholds = {lang: best_threshold(n[1], n[0]) for lang, n in own.items()}
+    return True
+
+
 def score_column(net: Net, text: Column) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
