@@ -114,3 +114,11 @@ def test_run_gives_the_stages_rows(spark, stages):
     got, want = corpus_pipeline.run(spark, SF), stages[-1]
     assert got.columns == want.columns and len(rows(got)) == len(rows(want))
     assert sorted((r.doc_id, r.piece, r.tokens) for r in got.collect()) == sorted((r.doc_id, r.piece, r.tokens) for r in want.collect())
+
+
+def test_a_whole_run_on_an_empty_table(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs.where("false").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/labels.parquet").where("false").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and "position" in out.columns
