@@ -17,10 +17,12 @@ BATCH_BYTES = 4 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The cluster's shared folder from ``spark.checkpoint.dir``; a folder of our own only where that is unset and there is but one machine."""
     sc = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="gatecrest-checkpoint-"))
     return shared or sc._jsc.sc().getCheckpointDir().get()
 
