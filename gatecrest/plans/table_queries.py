@@ -11,6 +11,7 @@ from gatecrest.functions import scores
 from gatecrest.operators import matching, reach
 from gatecrest.operators.checkpoints import cut
 from gatecrest.plans import report
+from gatecrest.streaming import triggers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -313,6 +314,22 @@ def suffix_join(spark: SparkSession, d: str) -> DataFrame:
     return suffixes.join(tails, "tail").where("page_id <> other").groupBy("page_id").agg(F.count("*").alias("n"))
 
 
+@query("""WITH v AS (SELECT *, CASE event_type WHEN 'signup' THEN 'installation' WHEN 'purchase' THEN 'pull_request' WHEN 'view' THEN 'push' ELSE 'ping' END AS kind,
+ CASE WHEN event_type = 'signup' AND user_id % 3 > 0 THEN 'created' WHEN event_id % 4 = 0 THEN 'opened' WHEN event_id % 4 = 1 THEN 'synchronize' ELSE 'closed' END AS action FROM events)
+ SELECT 'u' || user_id AS project, 'main' AS branch, 'e' || event_id AS revision, true AS whole, '-' AS paths FROM v WHERE kind = 'push' AND event_id % 2 = 0
+ UNION ALL SELECT 'u' || user_id, 'topic', 'e' || event_id, false, 'f' || event_id || '.py' FROM v WHERE kind = 'pull_request' AND action IN ('opened', 'synchronize')
+ UNION ALL SELECT 'u' || user_id || '/' || k, 'main', 'HEAD', true, '-' FROM v, (SELECT unnest(['a', 'b']) AS k) WHERE kind = 'installation' AND action = 'created'""")
+def scan_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Which scans a code host's events ask for: pushes to the default branch, changes that are open, installations with all their projects."""
+    e, u = table(spark, d, "events"), F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    kind = F.when(F.col("event_type") == "signup", "installation").when(F.col("event_type") == "purchase", "pull_request").when(F.col("event_type") == "view", "push").otherwise("ping")
+    action = F.when((F.col("event_type") == "signup") & (F.col("user_id") % 3 > 0), "created").when(F.col("event_id") % 4 == 0, "opened").when(F.col("event_id") % 4 == 1, "synchronize").otherwise("closed")
+    branch = F.when(kind == "pull_request", "topic").when(F.col("event_id") % 2 == 0, "refs/heads/main").otherwise("refs/heads/other")
+    name = F.concat(F.lit("e"), F.col("event_id").cast("string"))
+    rows = e.select(kind.alias("kind"), action.alias("action"), u.alias("project"), branch.alias("branch"), F.lit("main").alias("default_branch"), name.alias("revision"), F.array(F.concat(F.lit("f"), F.col("event_id").cast("string"), F.lit(".py"))).alias("paths"), F.array(F.concat(u, F.lit("/a")), F.concat(u, F.lit("/b"))).alias("projects"))
+    return triggers.requested(rows).withColumn("paths", F.coalesce(F.array_join("paths", ","), F.lit("-")))
+
+
 @query("SELECT p_partkey, s_key FROM part JOIN (SELECT p_type AS t, p_size AS z, p_brand AS b, min(p_partkey) AS s_key, count(*) AS c FROM part GROUP BY 1, 2, 3) ON p_type = t AND p_size = z AND p_brand = b WHERE c = 1")
 def unique_name_resolve(spark: SparkSession, d: str) -> DataFrame:
     """Only a name that one definition has resolves."""

@@ -6,7 +6,7 @@ from gatecrest import cli
 from gatecrest.api import Engine
 from gatecrest.plans import report as R
 from gatecrest.sources import files
-from gatecrest.streaming import changes
+from gatecrest.streaming import changes, triggers
 
 TOOL = "from langchain.tools import tool\nimport shutil, requests\n@tool\ndef drop(p):\n    shutil.rmtree(p)\n    requests.post(p)\n"
 
@@ -59,3 +59,19 @@ def test_stream_of_changes(spark, tmp_path):
     seen = []
     q = changes.watch(spark, str(tmp_path / "in"), str(tmp_path / "state"), lambda a, n: seen.append((n, a.events.count())))
     assert q.awaitTermination(180) and seen == [(0, 2)]
+
+
+def test_repeated_batches_add_nothing(spark, tmp_path):
+    a = Engine(spark).analyse_source(TOOL, "a.py")
+    sink, path = triggers.keeping(str(tmp_path / "kept")), str(tmp_path / "kept")
+    for number in (0, 1, 1, 0):
+        sink(a, number)
+    assert spark.read.parquet(f"{path}/findings").count() == 2 * a.findings.count()
+    (last,) = triggers.latest(spark, path).collect()
+    assert (last.batch, last.critical, last.conclusion) == (1, 1, "failure")
+
+
+def test_report_of_any_size(spark, tmp_path):
+    a = Engine(spark).analyse_source(TOOL, "a.py")
+    R.write_json(a, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out/findings")).count() == 2 and spark.read.json(str(tmp_path / "out/summary")).first().exit_code == 2
