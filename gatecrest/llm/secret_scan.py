@@ -27,14 +27,14 @@ IS = r"""["']?\s*(?:=>|[:=])\s*["']?"""
 #: Kind, pattern (group 1 is the credential) and literals in lower case of which the text must hold one before the pattern is tried.
 KINDS = (
     ("aws_access_key", r"\b((?:AKIA|ASIA)[0-9A-Z]{16})", ("akia", "asia")),
-    ("assigned_token", r"(?i)(?:token|secret|api[_-]?key|access[_-]?key|secret[_-]?key)" + IS + r"([A-Za-z0-9_+/=.-]{16,})", ("token", "secret", "key")),
+    ("assigned_token", r"(?i)(?:token|secret|api[_-]?key|access[_-]?key|secret[_-]?key)" + IS + r"([A-Za-z0-9_+/=.-]{16,})", ("token", "secret", "apikey", "api_key", "api-key", "accesskey", "access_key", "access-key")),
     ("password", r"(?i)(?:password|passwd|pwd)" + IS + r"""([^\s"'<>,;]{8,})""", ("passw", "pwd")),
     ("private_key", PRIVATE_KEY, ("private key",)),
     ("github_token", r"(gh[pousr]_[A-Za-z0-9]{36,})", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     ("bearer_jwt", r"(eyJ[A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,})", ("eyj",)),
 )
 #: A credential that says it is none, or of fewer than DISTINCT different characters, looks like no live one.
-PLACEHOLDER, DISTINCT = r"(?i)example|sample|dummy|placeholder|change.?me|your[_-]|insert|x{4,}|[*]{4,}|[$][{]|1234567|abcdef|deadbeef", 6
+PLACEHOLDER, DISTINCT = r"(?i)example|sample|dummy|placeholder|change.?me|your[_-]|insert|x{4,}|[*]{4,}|[$][{]", 6
 #: From so many distinct owners on a candidate is an example.
 EXAMPLE_OWNERS = 3
 
@@ -93,7 +93,7 @@ def oracle(example_owners: int = EXAMPLE_OWNERS) -> str:
         "github_token": "(gh[opsur]_[[:alnum:]]{36,})",
         "bearer_jwt": "(eyJ[[:alnum:]_-]{10,}[.][[:alnum:]_-]{10,}[.][[:alnum:]_-]{10,})",
     }
-    words = "example|sample|dummy|placeholder|change.?me|your[-_]|insert|xxxx|[*][*][*][*]|[$][{]|1234567|abcdef|deadbeef"
+    words = "example|sample|dummy|placeholder|change.?me|your[-_]|insert|xxxx|[*][*][*][*]|[$][{]"
     arms = " UNION ALL ".join(f"SELECT doc_id, source, lang, '{kind}' AS kind, unnest(regexp_extract_all(text, '{p}', 1)) AS s FROM documents" for kind, p in kinds.items())
     return f"""WITH hits AS ({arms}),
     hashed AS (SELECT doc_id, coalesce(source, '') AS owner, coalesce(source, '') || '/' || coalesce(lang, '') AS repository, kind, sha256(s) AS secret_hash, kind <> 'private_key' AND (regexp_matches(s, '(?i){words}') OR len(list_distinct(string_split(s, ''))) < 6) AS dull FROM hits),
