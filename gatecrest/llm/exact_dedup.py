@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gatecrest.llm.common import broadcast_if_small, cut, slices, small_batches, string_buffers
+from gatecrest.llm.common import broadcast_if_small, cut, give_back, slices, small_batches, string_buffers
 
 PRIMES, BASES = (2147483647, 2147483629), (1103515245, 1664525111)
 #: Bytes hashed in one dot product; bytes of a chunk row; bytes from which a text is hashed by chunk rows; bytes compared at once.
@@ -85,6 +85,7 @@ def _hash(column: str) -> Column:
                 for k, (base, prime) in enumerate(zip(BASES, PRIMES)):
                     h[k][lo:hi] = polynomial(data, offsets[lo : hi + 1], base, prime).view(np.int64)
             yield pa.StructArray.from_arrays([pa.array(x) for x in h], names=["h1", "h2"])
+        give_back()
 
     return F.arrow_udf(run, "struct<h1:bigint,h2:bigint>")(F.col(column))
 

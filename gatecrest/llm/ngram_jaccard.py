@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatecrest.llm.common import binary_rows, broadcast_if_small, cut, list_array, slices, small_batches, string_buffers
+from gatecrest.llm.common import binary_rows, broadcast_if_small, cut, give_back, list_array, slices, small_batches, string_buffers
 from gatecrest.llm.components import connected_components
 from gatecrest.llm.tokens import SLICE, Tokenizer, mix, ngrams
 
@@ -89,6 +89,7 @@ def sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     [pa.array(i, pa.int64()), pa.array(size, pa.int32()), pa.array(same, pa.int64()), list_array(np.concatenate(key).view(np.int64), np.arange(len(out) + 1) * bands, pa.int64()), binary_rows(np.stack(bits)), pa.array(wide, pa.binary())],
                     names=["doc_id", "n", "set_hash", "keys", "bits", "wide"],
                 )
+        give_back()
 
     return docs.mapInArrow(run, "doc_id long, n int, set_hash long, keys array<long>, bits binary, wide binary")
 
@@ -255,6 +256,8 @@ def candidates(sets: DataFrame, threshold: float, part: int = PART) -> DataFrame
             held.append(batch.slice(cut_))
         if held:
             yield from done(pa.Table.from_batches(held))
+        held.clear()
+        give_back()
 
     narrow = jobs(sets.select("set_hash", "n", "keys"), threshold, part)
     short = F.transform("keys", lambda k: F.pmod(k, F.lit(1 << 31)).cast("int"))  # enough to tell which bands two sets share
@@ -290,6 +293,7 @@ def verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, sizes: DataFr
             for k in range(0, len(found), 500):
                 h, g = zip(*found[k : k + 500])
                 yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(g, pa.binary())], names=["set_hash", "grams"])
+        give_back()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         job, held = None, {}
@@ -310,6 +314,8 @@ def verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, sizes: DataFr
             if out:
                 a, b, j_ = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(j_, pa.float64())], names=["a", "b", "jaccard"])
+        held.clear()
+        give_back()
 
     grams = texts.select("text").mapInArrow(sets, "set_hash long, grams binary")
     if texts.select("doc_id").groupBy("doc_id").count().where("count > 1").limit(1).count():
