@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatecrest.llm.common import broadcast_if_small, cut, slices, small_batches, string_buffers
+from gatecrest.llm.common import broadcast_if_small, cut, give_back, slices, small_batches, string_buffers
 from gatecrest.llm.tokens import SLICE, Tokenizer
 
 #: Labelled documents of each class to train on at most, and bytes of their texts together.
@@ -230,8 +230,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_each: int = TRAIN_EACH, train_
 def calibrate(net: Net, docs: DataFrame, known: DataFrame) -> bool:
     """Sets the thresholds of the net by the scores of the documents in known (id, y); False if there are none."""
     held = docs.join(broadcast_if_small(known.select("id", "y"), known.count(), 24), F.col("doc_id") == F.col("id"))
-    scored = held.select(F.coalesce("lang", F.lit("")).alias("lang"), "y", score_column(net, F.col("text")).alias("score")).where("score > 0")
-    counts = cut(scored.groupBy("lang", "y", F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n")))
+    scored = held.select(F.coalesce("lang", F.lit("")).alias("lang"), "y", score_column(net, F.col("text")).alias("score"))
+    # texts without a word, of score 0, go last: a filter by the score would be moved before the join and score all documents
+    at = F.when(F.col("score") > 0, F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int")).alias("bin")
+    counts = cut(scored.groupBy("lang", "y", at).agg(F.count("*").alias("n")))
+    counts = counts.where("bin is not null")
     total = np.zeros((2, BINS))
     for r in counts.groupBy("y", "bin").agg(F.sum("n").alias("n")).collect():  # 2 * BINS rows at most
         total[int(r.y), r.bin] = r.n
@@ -251,6 +254,7 @@ def score_column(net: Net, text: Column) -> Column:
         for texts in batches:
             parts = [net.scores(f, off) for f, off in feature_lists(texts)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
+        give_back()
 
     return F.arrow_udf(run, "double")(text)
 
