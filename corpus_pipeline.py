@@ -32,7 +32,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(bin_id, bin_tokens, doc_id, piece, start, tokens, bin_offset, position) of the pieces that fill sequences. Texts without a token take no room and have no row; a null doc_id stays null."""
-    return packing.pack_in_order(docs)
+    return packing.pack_in_order(docs, tree=True)
 
 
 STAGES = [

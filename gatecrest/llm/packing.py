@@ -4,12 +4,14 @@ Each partition packs its own documents best-fit, longest first, and emits the bi
 go up a tree: as items of their own they meet those of other partitions and are packed again. A bin that even the least
 of the others doesn't fit is emitted as it is. That goes on until one node holds what is left, or a round merges nothing.
 
-pack_in_order() packs within consecutive ranges of the rows' order instead, so that a curriculum outlives packing.
+pack_in_order() packs within consecutive ranges of the rows' order instead, so that a curriculum outlives packing; its
+tree is one of neighbouring ranges.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 from itertools import groupby
@@ -26,8 +28,8 @@ from gatecrest.llm.mixing import tokens
 CAPACITY = 2048
 #: Share of the capacity from which a bin counts as nearly full; underfull bins that one node takes.
 FULL, NODE = 0.98, 20_000
-#: Capacities that a range of pack_in_order() holds.
-RANGE = 256
+#: Capacities that a range of pack_in_order() holds; nodes of its tree that one above takes.
+RANGE, FAN = 256, 4
 
 ITEM = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("tokens", pa.int32()), ("offset", pa.int32())])
 BIN = "bin_id string, used int, level int, items array<struct<doc_id:bigint,piece:int,start:bigint,tokens:int,offset:int>>"
@@ -129,13 +131,17 @@ def row_order(docs: DataFrame) -> DataFrame:
         return docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_file", F.shiftright("_row", 33))
 
 
-def pack_in_order(docs: DataFrame, capacity: int = CAPACITY, range_: int = RANGE) -> DataFrame:
+def pack_in_order(docs: DataFrame, capacity: int = CAPACITY, range_: int = RANGE, tree: bool = False, full: float = FULL) -> DataFrame:
     """pack()'s columns and position, of docs whose row order counts: mixing.mixed() as it is, or written and read again.
 
     A document's offset is the number of tokens before it. Documents whose offsets lie in one range of ``range_``
-    capacities are packed best-fit, longest first, with each other only. A bin's position is the mean of its documents'
-    offsets, weighted by their tokens in it, as a share of all tokens; so every bin of a range comes before those of the
-    next. The rows are range-sorted by position. As with pack(), no token is lost, repeated or moved within its document.
+    capacities are packed best-fit, longest first. A bin's position is the mean of its documents' offsets, weighted by
+    their tokens in it, as a share of all tokens. The rows are range-sorted by position. As with pack(), no token is
+    lost, repeated or moved within its document.
+
+    Without ``tree`` bins of different ranges are never merged, so every bin of a range comes before those of the next.
+    With it the underfull bins of neighbouring ranges go up a tree to its root and are merged best-fit, and merged ones
+    lie at the mean of what they hold; see _merged().
     """
     narrow = cut(row_order(docs).select("_file", "_row", F.col("doc_id").cast("long").alias("doc_id"), tokens("text").alias("n")).where("n > 0"))
     files = narrow.groupBy("_file").agg(F.sum("n").alias("s"))
@@ -152,8 +158,8 @@ def pack_in_order(docs: DataFrame, capacity: int = CAPACITY, range_: int = RANGE
             used, offset = sum(items[i][1]["tokens"] for i in b), 0
             position = sum(items[i][0] * items[i][1]["tokens"] for i in b) / used / total
             for i in sorted(b, key=lambda i: (items[i][0], items[i][1]["piece"])):  # in order within the bin, too
-                p = items[i][1]
-                yield f"{r}-{k}", used, p["doc_id"], p["piece"], p["start"], p["tokens"], offset, position
+                at, p = items[i]
+                yield f"{r}-{k}", used, p["doc_id"], p["piece"], p["start"], p["tokens"], offset, position, r, at
                 offset += p["tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +168,53 @@ def pack_in_order(docs: DataFrame, capacity: int = CAPACITY, range_: int = RANGE
             out = list(packed(r, list(part)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
-    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
-    names = ["bin_id", "bin_tokens", "doc_id", "piece", "start", "tokens", "bin_offset", "position"]
-    out = cut(placed.mapInArrow(run, "bin_id string, bin_tokens int, doc_id long, piece int, start long, tokens int, bin_offset int, position double"))
-    return out.repartitionByRange("position", "bin_id").sortWithinPartitions("position", "bin_id", "bin_offset")
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64()]
+    names = ["bin_id", "bin_tokens", "doc_id", "piece", "start", "tokens", "bin_offset", "position", "r", "at"]
+    out = cut(placed.mapInArrow(run, "bin_id string, bin_tokens int, doc_id long, piece int, start long, tokens int, bin_offset int, position double, r long, at long"))
+    if tree:
+        out = _merged(out, -(-total // (range_ * capacity)), capacity, int(capacity * full))
+    return out.select(names[:-2]).repartitionByRange("position", "bin_id").sortWithinPartitions("position", "bin_id", "bin_offset")
+
+
+def _merged(rows: DataFrame, ranges: int, capacity: int, least: int) -> DataFrame:
+    """The rows of the bins of ``ranges`` ranges, where bins of fewer than ``least`` tokens have gone up a tree of them.
+
+    A node takes the underfull bins of FAN neighbours and packs them best-fit, longest first, as items of their own. Of
+    the bins that best fit leaves no two fit together, so that a node has at most one of half the capacity or less, and
+    only these are ever put into others: FAN a node, each into one bin. So FAN bins of each number of tokens for each
+    level are all that a node can have use for; that many go up, and no merge is lost by the others' staying. A merged
+    bin has the id of the first that it is made of.
+    """
+    levels = 0
+    while FAN**levels < ranges:
+        levels += 1
+    useful = FAN * levels
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bins = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+        for node, part in groupby(bins, key=lambda x: x[0]):
+            part, out, sent = sorted(part, key=lambda x: (-x[1], x[2], x[3])), [], Counter()
+            for b in best_fit([used for _, used, *_ in part], capacity):
+                used = sum(part[i][1] for i in b)
+                sent[used] += 1
+                made_of = [m for i in sorted(b, key=lambda i: part[i][2:4]) for m in part[i][3]]
+                out.append((node, used, sum(part[i][1] * part[i][2] for i in b) / used, made_of, used < least and sent[used] <= useful))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+
+    kinds = [pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.string()), pa.bool_()]
+    names = ["node", "used", "position", "made_of", "up"]
+    underfull = rows.where(F.col("bin_tokens") < least)
+    done, rest = [], underfull.where("bin_offset = 0").select(F.col("r").alias("node"), F.col("bin_tokens").alias("used"), "position", F.array("bin_id").alias("made_of"))
+    for _ in range(levels):
+        if rest.where(F.col("used") * 2 <= capacity).isEmpty():  # nothing that could be put into another
+            break
+        nodes = rest.withColumn("node", F.floor(F.col("node") / FAN)).repartition("node").sortWithinPartitions("node")
+        bins = cut(nodes.mapInArrow(run, "node long, used int, position double, made_of array<string>, up boolean"))
+        done.append(bins.where("not up").drop("up"))
+        rest = bins.where("up").drop("up")
+    merged = reduce(DataFrame.union, [*done, rest]).where(F.size("made_of") > 1)
+    merged = cut(merged.select(F.col("made_of")[0].alias("_id"), "used", F.col("position").alias("_position"), F.explode("made_of").alias("bin_id")))
+    one = underfull.join(broadcast_if_small(merged, merged.count(), 100), "bin_id")
+    before = Window.partitionBy("_id").orderBy("at", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    one = one.withColumn("bin_offset", F.coalesce(F.sum("tokens").over(before), F.lit(0)).cast("int")).withColumn("bin_id", F.col("_id")).withColumn("bin_tokens", F.col("used")).withColumn("position", F.col("_position"))
+    return cut(rows.join(broadcast_if_small(merged.select("bin_id"), merged.count(), 40), "bin_id", "left_anti").select(rows.columns).union(one.select(rows.columns)))
