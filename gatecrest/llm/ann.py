@@ -106,35 +106,52 @@ def exact_products(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -
     return out
 
 
+def leaders(about: np.ndarray, first: int) -> np.ndarray:
+    """Columns of ``first`` great estimates of each row, all of different groups of columns: the greatest of each of the groups that lead."""
+    n = about.shape[1]
+    width = max(1, n // (4 * first))
+    groups = n // width
+    top = about[:, : groups * width].reshape(len(about), groups, width).max(axis=2)
+    lead = np.argpartition(-top, first - 1, axis=1)[:, :first]
+    within = about[np.arange(len(about))[:, None, None], lead[:, :, None] * width + np.arange(width)].argmax(axis=2)
+    return lead * width + within
+
+
 def search(ids: np.ndarray, x: np.ndarray, codes: Codes, qids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """For each query the k greatest exact inner products among the vectors that its bounds leave; row, id, score, and how many were reranked.
+    """For each query and vector that its bounds leave the exact inner product, and of these the k greatest; row, id, score, and how many were reranked.
 
-    The vectors of greatest estimates are reranked first. The k-th greatest of their exact products then bounds what the
-    others must be able to reach, which leaves fewer of them than a bound from estimates alone.
+    Vectors of great estimates are reranked first. The k-th greatest of their exact products then bounds what the
+    others must be able to reach, which leaves fewer of them than a bound from estimates alone. Those left are reranked
+    in single precision, and in double where rounding could decide. ids must ascend.
     """
     rows, found, scores, reranked = [], [], [], 0
     first = min(4 * k, len(ids))
+    rounding = 2 * codes.dim * np.finfo(np.float32).eps  # more than two products of unit vectors in single precision are off
     for s in range(0, len(q), QUERIES):
         part = q[s : s + QUERIES]
         about, wide = codes.estimate(part)
-        mine = qids[s : s + QUERIES, None] == ids[None, :]
-        about[mine] = -np.inf
-        best = np.argpartition(-about, first - 1, axis=1)[:, :first]
+        own = np.searchsorted(ids, qids[s : s + QUERIES]).clip(max=len(ids) - 1)
+        mine = np.flatnonzero(ids[own] == qids[s : s + QUERIES])
+        about[mine, own[mine]] = -np.inf
+        best = leaders(about, first)
         i = np.repeat(np.arange(len(part)), first)
         sample = exact_products(part, x, i, best.ravel()).reshape(len(part), first)
-        sample[np.take_along_axis(mine, best, axis=1)] = -np.inf
+        sample[np.isneginf(np.take_along_axis(about, best, axis=1))] = -np.inf
         least = np.partition(sample, first - k, axis=1)[:, first - k] if first >= k else np.full(len(part), -np.inf)
         about += wide
-        chosen = (about >= (least - 1e-6)[:, None]) & ~mine
-        reranked += int(chosen.sum())
-        i, j = np.nonzero(chosen)
-        exact = exact_products(part, x, i, j)
-        order = np.lexsort((ids[j], -exact, i))
-        i, j, exact = i[order], j[order], exact[order]
-        nth = np.arange(len(i)) - np.searchsorted(i, i)
-        rows.append(s + i[nth < k])
-        found.append(ids[j[nth < k]])
-        scores.append(exact[nth < k])
+        chosen = about >= (least - 1e-6)[:, None].astype(np.float32)
+        chosen[mine, own[mine]] = False
+        for r in range(len(part)):
+            j = np.flatnonzero(chosen[r])
+            reranked += len(j)
+            near = x[j] @ part[r]
+            if len(j) > k:
+                j = j[near >= np.partition(near, len(j) - k)[len(j) - k] - rounding]
+            exact = exact_products(part, x, np.full(len(j), r), j)
+            order = np.lexsort((ids[j], -exact))[:k]
+            rows.append(np.full(len(order), s + r))
+            found.append(ids[j[order]])
+            scores.append(exact[order])
     return np.concatenate(rows), np.concatenate(found), np.concatenate(scores), reranked
 
 
