@@ -44,7 +44,7 @@ def module_names(files: DataFrame) -> DataFrame:
 
 
 def names_of(facts: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """The names table of parsed facts."""
+    """The names table of parsed facts, which are a cut table. It has no more partitions than they, as every round of resolve() reads all of it."""
     none = F.lit(None).cast("string")
     node = lambda cls, name: F.concat(F.col("file"), F.lit(":"), F.when(cls.isNotNull(), F.concat(cls, F.lit("."))).otherwise(""), name)
     b = facts.select("project", "file", F.explode("names").alias("x")).select("project", "file", "x.*")
@@ -67,7 +67,7 @@ def names_of(facts: DataFrame, files: DataFrame | None = None) -> DataFrame:
     out = bound.unionByName(functions).unionByName(classes).unionByName(instances).unionByName(own).unionByName(bases)
     out = out.withColumn("root", none)
     modules = module_names(facts).select("project", F.lit("").alias("file"), none.alias("fn"), none.alias("cls"), "name", F.lit(IMPORT).alias("prio"), F.lit(0).alias("ord"), "to_file", none.alias("to_fn"), none.alias("to_cls"), F.lit("").alias("to_chain"), none.alias("node"), "root")
-    return out.unionByName(modules)
+    return out.unionByName(modules).coalesce(max(1, facts.rdd.getNumPartitions()))
 
 
 def prefixes(chain: Column) -> Column:

@@ -18,6 +18,8 @@ EXCLUDE = tuple(f"**/{d}/**" for d in scores.EXCLUDED) + ("**/*.d.ts", "**/*.min
 COLUMNS = ["project", "file", "language", "source", "error"]
 #: Characters of text that a batch holds before it is handed on; files that a task reads; tasks at most.
 READ_BYTES, FILES_A_TASK, MAX_TASKS = 4 << 20, 32, 10_000
+#: Files, and characters of text, that make a task of parsing worth its cost (as many as that, and the compiler is warm); what a task has at most, as far as files can be told apart; tasks for each core where there is that much to do.
+WORTH, MOST, TASKS_A_CORE = (1 << 13, 1 << 20), (1 << 16, 1 << 24), 2
 
 
 class TooManyFiles(ValueError):
@@ -116,6 +118,24 @@ def _some(spark: SparkSession, root: str, names: list[str], project: str, max_fi
     return _routed(texts(spark, root, names, project))
 
 
+def parts_for(files: int, chars: int, cores: int) -> int:
+    """Tasks over which so many files with so many characters are spread."""
+    by = lambda bound: max(-(-files // bound[0]), -(-chars // bound[1]), 1)
+    return min(max(min(by(WORTH), TASKS_A_CORE * cores), by(MOST)), MAX_TASKS)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows (project, file, source, ...), spread over tasks by project and file where a partition has more than twice its share.
+
+    Sources that come out of a small table lie in one partition, however many there are, and would be parsed by one core.
+    """
+    sizes = df.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"), F.sum(F.length("source")).alias("c"))
+    r = sizes.agg(*(F.coalesce(f(c), F.lit(0)).alias(f"{name}_{c}") for name, f in (("all", F.sum), ("most", F.max)) for c in ("n", "c"))).first()
+    parts = parts_for(r.all_n, r.all_c, df.sparkSession.sparkContext.defaultParallelism)
+    share = [max(2 * whole / parts, worth) for whole, worth in zip((r.all_n, r.all_c), WORTH)]
+    return df.repartition(parts, "project", "file") if r.most_n > share[0] or r.most_c > share[1] else df
+
+
 def _routed(df: DataFrame) -> DataFrame:
     language = scores.language(F.col("file"))
     error = F.when(language.isNull(), "Unsupported file type").when(F.col("source").isNull(), "Could not read file")
